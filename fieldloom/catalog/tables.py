@@ -182,8 +182,7 @@ select ordinal, field, type, value from facts where ordinal % 10 <> 9
 )
 def flat_records(spark: SparkSession, folder: str) -> DataFrame:
     facts = field_facts(flatten_results(I.analysis_results(spark, folder)), "ordinal")
-    text = J.sample_text(F.col("value"), F.col("type")).alias("value")
-    return facts.select("ordinal", "field", "type", text)
+    return facts.select("ordinal", "field", "type", F.col("sample").alias("value"))
 
 
 def _event_results(spark: SparkSession, folder: str) -> DataFrame:

@@ -157,7 +157,7 @@ def reply_extraction(spark: SparkSession, folder: str) -> DataFrame:
     data = F.col("parsed_response")
     return parsed.select(
         "doc_id",
-        J.reply_rung(F.col("raw_response"), repair=True).alias("rung"),
+        "rung",
         F.try_variant_get(data, "$.doc_id", "bigint").alias("found_id"),
         F.try_variant_get(data, "$.lang_code", "string").alias("found_lang"),
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom import constants as C
 from fieldloom.functions import json as J
 
 
@@ -85,16 +86,21 @@ def flatten_results(
 
 
 def field_facts(records: DataFrame, order: str, fields: str = "fields") -> DataFrame:
-    """Long form: one row per record and field, with value and type.
+    """Long form: one row per record and field, with the type and the sample text of the value.
 
     A record without fields keeps one row with a null field, so records stay countable.
     """
     exploded = records.select(order, F.posexplode_outer(fields).alias("_at", "field", "value"))
-    return exploded.select(
+    # Type and text are columns of their own, so each is read from the VARIANT once.
+    value = F.col("value")
+    typed = exploded.select(
+        order, "_at", "field", J.value_type(value).alias("type"), J.raw_text(value).alias("text")
+    )
+    shown = J.typed_text(F.col("text"), F.col("type"))
+    return typed.select(
         order,
         "field",
-        "value",
-        J.value_type(F.col("value")).alias("type"),
-        J.is_filled(F.col("value")).alias("filled"),
+        "type",
+        F.left(shown, F.lit(C.SAMPLE_LENGTH)).alias("sample"),
         (F.coalesce("_at", F.lit(0)) == 0).alias("starts_record"),
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldloom import constants as C
@@ -14,26 +14,28 @@ from fieldloom.session import cut_lineage
 TYPES = ["str", "int", "float", "bool", "list", "dict"]
 
 # Groups the samples of a field are hashed into while looking for the first distinct ones.
-SAMPLE_GROUPS = 32
+SAMPLE_GROUPS = 64
 
 # Field bounds up to this measured size are broadcast.
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
 
 
+def _filled() -> Column:
+    """Neither null nor empty text."""
+    return F.col("sample") != ""
+
+
 def _field_groups(facts: DataFrame, order: str) -> DataFrame:
     """Counts per field and sample group, in one hash aggregation over numbers only."""
-    filled = F.col("filled")
-    sample = J.sample_text(F.col("value"), F.col("type"))
-    hashed = facts.withColumn("hash", F.when(filled, F.xxhash64(sample)))
-    at = F.when(filled, F.col(order))
-    is_wide = F.startswith(F.schema_of_variant("value"), F.lit("DECIMAL"))
+    hashed = facts.withColumn("hash", F.when(_filled(), F.xxhash64("sample")))
+    is_wide = (F.col("type") == "int") & F.col("sample").try_cast("bigint").isNull()
     return hashed.groupBy("field", F.pmod("hash", F.lit(SAMPLE_GROUPS)).alias("part")).agg(
         F.count("field").alias("count"),
-        F.count_if(filled).alias("non_null_count"),
+        F.count_if(_filled()).alias("non_null_count"),
         F.count_if("starts_record").alias("records"),
-        F.count_if((F.col("type") == "int") & filled & is_wide).alias("wide_ints"),
-        *[F.count_if(filled & (F.col("type") == t)).alias(t) for t in TYPES],
-        F.min(at).alias("first_at"),
+        F.count_if(is_wide).alias("wide_ints"),
+        *[F.count_if(_filled() & (F.col("type") == t)).alias(t) for t in TYPES],
+        F.min(F.when(_filled(), F.col(order))).alias("first_at"),
         (F.min("hash") == F.max("hash")).alias("single"),
     )
 
@@ -62,13 +64,12 @@ def _first_samples(facts: DataFrame, bounds: DataFrame | None, order: str) -> Da
     Facts past the bound of their field cannot hold a first sample and are dropped before the
     shuffle; the rank filter is also applied before its shuffle.
     """
-    near = facts.filter("filled")
+    near = facts.filter(_filled())
     if bounds is not None:
         near = near.join(F.broadcast(bounds), "field").filter(
             F.col("bound").isNull() | (F.col(order) <= F.col("bound"))
         )
-    sample = J.sample_text(F.col("value"), F.col("type"))
-    seen = near.groupBy("field", sample.alias("sample")).agg(F.min(order).alias("at"))
+    seen = near.groupBy("field", "sample").agg(F.min(order).alias("at"))
     by_arrival = Window.partitionBy("field").orderBy("at", "sample")
     ranked = seen.withColumn("rank", F.row_number().over(by_arrival))
     kept = ranked.filter(F.col("rank") <= C.MAX_SAMPLES)

@@ -10,15 +10,22 @@ from fieldloom.functions import text as X
 
 
 def parse_replies(replies: DataFrame, raw: str = "raw_response", repair: bool = False) -> DataFrame:
-    """Add ``parsed_response``: cleaned data as VARIANT, null when the reply holds none."""
-    found = replies.withColumn("_json", J.reply_json(F.col(raw), repair))
-    return found.withColumn("parsed_response", J.clean_json(F.col("_json"))).drop("_json")
+    """Add ``rung``, ``reply_json`` and ``parsed_response``: how an object was found in the
+    reply, its text, and the cleaned data as VARIANT; the last two are null when there is none.
+    """
+    found = replies.withColumn("_found", J.read_reply(F.col(raw), repair))
+    return found.select(
+        *replies.columns,
+        F.col("_found.rung").alias("rung"),
+        F.col("_found.json").alias("reply_json"),
+        J.clean_json(F.col("_found.json")).alias("parsed_response"),
+    )
 
 
 def split_replies(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Replies with data, and the others for quarantine."""
-    good = J.has_data(F.col("parsed_response"))
-    return parsed.filter(good), parsed.filter(~good).drop("parsed_response")
+    good = F.col("reply_json").isNotNull()
+    return parsed.filter(good), parsed.filter(~good).drop("reply_json", "parsed_response")
 
 
 def reply_metrics(replies: DataFrame, by: list[str]) -> DataFrame:

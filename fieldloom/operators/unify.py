@@ -11,19 +11,27 @@ from fieldloom.functions import text as X
 from fieldloom.operators.schema import WideColumn
 
 
-def wide_value(value: Column, kind: str) -> Column:
-    """Value of a column: coerced to its kind, lists joined, objects as JSON text."""
-    text = F.try_variant_get(value, "$", "string")
-    if kind == "double":
-        return X.to_number(text)
-    if kind == "boolean":
-        return X.to_boolean(text)
+def field_texts(fields: Column) -> Column:
+    """Shown text per field: lists joined, objects as JSON."""
+
+    def shown(_: Column, value: Column) -> Column:
+        kind = J.value_type(value)
+        return X.let(
+            kind, lambda k: F.when(k == "list", J.list_text(value)).otherwise(J.value_text(value, k))
+        )
+
+    return F.transform_values(fields, shown)
+
+
+def wide_value(field: str, kind: str, fields: Column, texts: Column) -> Column:
+    """Value of a column, coerced to its kind; what does not fit is null."""
+    if kind == "string":
+        return F.try_element_at(texts, F.lit(field))
+    value = F.try_element_at(fields, F.lit(field))
     if kind == "bigint":
         return F.try_variant_get(value, "$", "bigint")
-    return X.let(
-        J.value_type(value),
-        lambda t: F.when(t == "list", J.list_text(value)).otherwise(J.value_text(value, t)),
-    )
+    text = J.raw_text(value)
+    return X.to_number(text) if kind == "double" else X.to_boolean(text)
 
 
 def misc_fields(fields: Column, standard: list[str], limit: int = C.MAX_MISC_ITEMS) -> Column:
@@ -55,13 +63,12 @@ def unify(
     keep: list[str] | None = None,
 ) -> DataFrame:
     """Wide table: every standard column, absent fields null, and the misc column as JSON text."""
-    m = F.col(fields)
+    m, texts = F.col(fields), F.col("_texts")
     names = [c.field for c in columns]
-    wide = [
-        wide_value(F.try_element_at(m, F.lit(c.field)), c.kind).alias(c.field) for c in columns
-    ]
+    wide = [wide_value(c.field, c.kind, m, texts).alias(c.field) for c in columns]
     misc = F.to_json(misc_fields(m, names, misc_limit)).alias(C.MISC_COLUMN)
-    return records.select(*(keep or []), *wide, misc)
+    shown = records.withColumn("_texts", field_texts(m))
+    return shown.select(*(keep or []), *wide, misc)
 
 
 def unify_objects(

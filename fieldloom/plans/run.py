@@ -10,13 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom import constants as C
-from fieldloom.functions import json as J
 from fieldloom.functions import text as X
 from fieldloom.operators import content as content_ops
 from fieldloom.operators import reports, scoring
 from fieldloom.operators.incremental import latest, remaining, reusable
 from fieldloom.operators.outcomes import result_records
-from fieldloom.operators.replies import parse_replies, split_replies
+from fieldloom.operators.replies import parse_replies
 from fieldloom.plans.final_table import save_final_table
 from fieldloom.session import configure
 from fieldloom.sources import readers as R
@@ -29,7 +28,7 @@ TEXTS = (
 REPLIES = (
     "url_key string, model string, prompt_length int, raw_response string, usage string,"
     " attempts int, error string, response_length int, written timestamp,"
-    " parsed_response variant, usable boolean"
+    " rung string, parsed_response variant, usable boolean"
 )
 RESULTS = (
     "url_key string, url string, timestamp double, content_length int, data variant,"
@@ -112,12 +111,15 @@ def _replies(spark, texts, template, open_scorer, base: str, run_id: str, s: Set
         F.current_timestamp().alias("written"),
     )
     called = W.append_run(calls, f"{base}/calls", run_id)
-    read = parse_replies(called, repair=s.repair_json)
     parsed = W.append_run(
-        read.withColumn("usable", J.has_data(F.col("parsed_response"))), f"{base}/replies", run_id
+        parse_replies(called, repair=s.repair_json)
+        .withColumn("usable", F.col("reply_json").isNotNull())
+        .drop("reply_json"),
+        f"{base}/replies",
+        run_id,
     )
-    _, bad = split_replies(parsed)
-    W.append_run(bad.filter("raw_response is not null"), f"{base}/quarantine", run_id)
+    bad = parsed.filter("not usable and raw_response is not null")
+    W.append_run(bad.drop("parsed_response", "usable"), f"{base}/quarantine", run_id)
     kept = latest(reusable(texts, stored, ["url_key"]), ["url_key"], "written")
     columns = ["url_key", "parsed_response", "error"]
     return parsed.select(*columns).unionByName(kept.select(*columns))
