@@ -1,0 +1,133 @@
+import json
+
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from fieldloom.functions import json as J
+
+
+def apply(spark, values, function):
+    df = spark.createDataFrame(list(enumerate(values)), "i int, v string")
+    found = df.select("i", function(F.col("v")).alias("r")).collect()
+    return [r.r for r in sorted(found, key=lambda r: r.i)]
+
+
+def text_of(function):
+    return lambda v: F.to_json(function(v))
+
+
+def test_strict_json(spark):
+    accepted = {"{\"a\":1}": '{"a":1}', "[1,2]": "[1,2]", '"q"': '"q"', '{"a":1,"a":2}': '{"a":2}'}
+    assert apply(spark, accepted, text_of(J.strict_json)) == list(accepted.values())
+    rejected = [
+        '{"a":1} x', '{"a":1} y {"b":2}', '{"a":1}] x {"b":2}', '{"a":1}} x {"b":2}',
+        '{"a":1},{"b":2}', '5 {"a":1}', '{"a":1}, "w":2', "", None,
+    ]
+    assert apply(spark, rejected, text_of(J.strict_json)) == [None] * len(rejected)
+
+
+LADDER = {
+    '{"a":1}': ("whole", '{"a":1}'),
+    ' \n{"a":1} ': ("whole", '{"a":1}'),
+    'Sure: {"a":1} done': ("greedy", '{"a":1}'),
+    'set {1} ```json\n{"a":3}\n```': ("json_fence", '{"a":3}'),
+    '{"a":1} ```json\n{"b":2}\n```': ("json_fence", '{"b":2}'),
+    '{x} ```\n{"b":2}\n```': ("fence", '{"b":2}'),
+    'x {"a":1} y {"b":2}': ("balanced", '{"a":1}'),
+    'x {"a":{"c":{}}} y {"b":2}': ("balanced", '{"a":{"c":{}}}'),
+    '{"a":"}"} y {"b":2}': (None, None),
+    '[{"a":1}]': ("whole", None),
+    "5": ("whole", None),
+    '"q"': ("whole", None),
+    "{}": ("whole", None),
+    "x {} y": ("greedy", None),
+    '{"a":1,}': (None, None),
+    "none": (None, None),
+    "} {": (None, None),
+    "{": (None, None),
+    None: (None, None),
+}
+
+
+def test_reply_ladder(spark):
+    assert apply(spark, LADDER, J.reply_rung) == [v[0] for v in LADDER.values()]
+    assert apply(spark, LADDER, J.reply_json) == [v[1] for v in LADDER.values()]
+
+
+def test_repair(spark):
+    texts = ['{"a":1,}', "{a: 'x'}", "x {'a': [1,],} y"]
+    found = apply(spark, texts, lambda v: J.reply_json(v, repair=True))
+    assert [json.loads(t) for t in found] == [{"a": 1}, {"a": "x"}, {"a": [1]}]
+
+
+CLEANING = [
+    ({" Job Title": " x "}, {"job_title": "x"}),
+    ({"remote-work": "Yes"}, {"remote_work": True}),
+    ({"a": " yes "}, {"a": "yes"}),
+    ({"a": "N/A", "b": "null", "c": "", "d": None, "e": "None"},
+     {"a": None, "b": None, "c": None, "d": None, "e": None}),
+    ({"a": "NULL"}, {"a": "NULL"}),
+    ({"a": "  "}, {"a": ""}),
+    ({"Salary Min": "100k"}, {"salary_min": 100000.0}),
+    ({"salary": 5, "my salary": "none"}, {"salary": 5, "my_salary": None}),
+    ({"skills": [" a ", "", None, 0, 7, True, 1.0, 2.5, [], False]},
+     {"skills": ["a", "7", "True", "1.0", "2.5"]}),
+    ({"b": {"X Y": "no"}}, {"b": {"x_y": False}}),
+    ({"l": {"M": {"N": {"O P": "n/a"}}}}, {"l": {"m": {"n": {"o_p": None}}}}),
+    ({"i": 3, "f": 2.5, "t": True}, {"i": 3, "f": 2.5, "t": True}),
+]
+
+
+def test_cleaning(spark):
+    texts = [json.dumps(data) for data, _ in CLEANING]
+    texts += ['{"Job Title":1,"job_title":2}', '{"job_title":1,"Job Title":2}', '{"a":1,"a":"x"}']
+    expected = [want for _, want in CLEANING] + [{"job_title": 2}, {"job_title": 2}, {"a": "x"}]
+    assert [json.loads(t) for t in apply(spark, texts, text_of(J.clean_json))] == expected
+
+
+def test_types_and_texts(spark):
+    cases = {
+        "1": ("int", "1"), "1.0": ("float", "1.0"), "2.50": ("float", "2.5"),
+        "40000000.0": ("float", "40000000.0"), "123456789.125": ("float", "123456789.125"),
+        "1e3": ("float", "1000.0"), "0.05": ("float", "0.05"), "true": ("bool", "True"),
+        '"x"': ("str", "x"), "[1]": ("list", "[1]"), '{"a":1}': ("dict", '{"a":1}'),
+        "null": (None, None), "12345678901234567890": ("int", "12345678901234567890"),
+        "-0.0": ("float", "0.0"), "1.5e10": ("float", "15000000000.0"),
+    }
+    kinds = apply(spark, cases, lambda v: J.value_type(F.parse_json(v)))
+    texts = apply(spark, cases, lambda v: J.value_text(F.parse_json(v)))
+    assert list(zip(kinds, texts)) == list(cases.values())
+
+
+def test_nested_get_and_required(spark):
+    value = lambda v: F.parse_json(v)
+    texts = ['{"a":{"b":null}}', '{"a":1}', '{"a":{"b":2}}']
+    got = apply(
+        spark, texts,
+        lambda v: F.to_json(J.nested_get(value(v), ["a", "b"], F.lit("-").cast("variant"))),
+    )
+    assert got == ["null", '"-"', "2"]
+    texts = ['{"a":1,"b":2}', '{"a":1}', "[1]", "{}"]
+    assert apply(spark, texts, lambda v: J.has_fields(value(v), ["a", "b"])) == [
+        True, False, False, False,
+    ]
+    assert apply(spark, texts, lambda v: J.has_fields(value(v), [])) == [True, True, False, True]
+    assert apply(spark, texts, lambda v: J.has_data(value(v))) == [True, True, False, False]
+
+
+def reference_slice(text):
+    """Brace counting character by character."""
+    start = text.find("{")
+    depth = 0
+    for i in range(start, len(text)) if start >= 0 else ():
+        depth += {"{": 1, "}": -1}.get(text[i], 0)
+        if depth == 0:
+            return text[start : i + 1]
+    return None
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text(alphabet='{}a"é ', max_size=30), min_size=20, max_size=40))
+def test_balanced_slice_matches_counting(spark, texts):
+    assert apply(spark, texts, J.balanced_slice) == [reference_slice(t) for t in texts]
