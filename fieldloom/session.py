@@ -12,6 +12,8 @@ SETTINGS = {
     # A JSON object may repeat a key; the last one counts.
     "spark.sql.variant.allowDuplicateKeys": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
+    # CSV files come in more character sets than the reader accepts by default.
+    "spark.sql.legacy.javaCharsets": "true",
     # Pages and replies are long texts, so Arrow batches are bounded by bytes, not by rows alone.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
