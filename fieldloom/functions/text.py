@@ -14,10 +14,10 @@ from pyspark.sql.types import StringType
 
 from fieldloom import constants as C
 
-# Whitespace in the Unicode sense: as a regex class (which alone leaves out four separators),
-# and as the characters themselves.
-SPACE = r"[\s\x1c-\x1f]"
+# Unicode whitespace: the characters, and a pattern for runs of them (the Unicode class of the
+# regex engine leaves out four separators).
 SPACE_CHARACTERS = "".join(chr(c) for c in range(0x10000) if chr(c).isspace())
+SPACE_RUN = r"(?U)[\s\x1c-\x1f]+"
 
 # Every Unicode decimal digit beside ASCII, and the ASCII digit it stands for.
 _DIGITS = [
@@ -31,6 +31,12 @@ def _unescape(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 
 
+@F.pandas_udf(StringType())
+def _clean_with_entities(texts: pd.Series) -> pd.Series:
+    # str.split and str.strip take the same whitespace as SPACE_RUN.
+    return texts.map(lambda t: html.unescape(" ".join(t.split())).strip(), na_action="ignore")
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once, also inside a lambda."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -49,10 +55,12 @@ def decode_entities(text: Column) -> Column:
 def clean_text(text: Column) -> Column:
     """Collapse whitespace, then decode entities, then strip; null becomes empty text.
 
-    The order matters: a no-break space written as an entity survives inside the text.
+    The order matters: a no-break space written as an entity survives inside the text. Only
+    texts with an ampersand travel to Python.
     """
-    collapsed = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?U){SPACE}+", " ")
-    return strip(decode_entities(collapsed))
+    decoded = _clean_with_entities(F.when(F.contains(text, F.lit("&")), text))
+    plain = strip(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_RUN, " "))
+    return F.coalesce(decoded, plain)
 
 
 def truncate_text(text: Column, limit: int) -> Column:

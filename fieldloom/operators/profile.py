@@ -13,8 +13,12 @@ from fieldloom.session import cut_lineage
 # Names in the type histogram.
 TYPES = ["str", "int", "float", "bool", "list", "dict"]
 
-# Groups the samples of a field are hashed into while looking for the first distinct ones.
-SAMPLE_GROUPS = 64
+# Groups the samples of a field are hashed into while looking for the first distinct ones; a
+# task sends at most this many rows per field.
+SAMPLE_GROUPS = 512
+
+# Up to this many fields with an open bound are picked out of the records by name.
+MAX_OPEN_FIELDS = 100
 
 # Field bounds up to this measured size are broadcast.
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
@@ -77,6 +81,20 @@ def _first_samples(facts: DataFrame, bounds: DataFrame | None, order: str) -> Da
     return kept.groupBy("field").agg(F.transform(ordered, lambda s: s["sample"]).alias("samples"))
 
 
+def _near_records(
+    records: DataFrame, order: str, fields: str, last: int | None, still_open: list[str]
+) -> DataFrame:
+    """What can hold a first sample: records up to the last bound, and open fields after it."""
+    is_near = F.coalesce(F.col(order) <= F.lit(last), F.lit(False))
+    if not still_open:
+        return records.filter(is_near)
+    if len(still_open) > MAX_OPEN_FIELDS:
+        return records
+    names = F.array(*[F.lit(f) for f in still_open])
+    rest = F.map_filter(fields, lambda name, _: F.array_contains(names, name))
+    return records.withColumn(fields, F.when(is_near, F.col(fields)).otherwise(rest))
+
+
 def profile_fields(records: DataFrame, order: str, fields: str = "fields") -> DataFrame:
     """Statistics of every field over all records.
 
@@ -86,17 +104,16 @@ def profile_fields(records: DataFrame, order: str, fields: str = "fields") -> Da
     broadcast when their measured size allows it; otherwise the second pass aggregates without.
     """
     counts = cut_lineage(_field_counts(_field_groups(field_facts(records, order, fields), order)))
-    seen = F.col("non_null_count") > 0
+    seen = counts.filter("non_null_count > 0").select("field", "bound")
     measured = counts.agg(
         F.sum("records").alias("records"),
         F.sum(F.octet_length("field") + 16).alias("bytes"),
-        F.count_if(seen & F.col("bound").isNull()).alias("open"),
-        F.max("bound").alias("last"),
+        F.max(F.when(F.col("non_null_count") > 0, F.col("bound"))).alias("last"),
     ).first()
-    early = records if measured.open else records.filter(F.col(order) <= measured.last)
+    still_open = [r.field for r in seen.filter("bound is null").limit(MAX_OPEN_FIELDS + 1).collect()]
+    near = _near_records(records, order, fields, measured.last, still_open)
     small = (measured.bytes or 0) <= MAX_BROADCAST_BYTES
-    bounds = counts.filter(seen).select("field", "bound") if small else None
-    samples = _first_samples(field_facts(early, order, fields), bounds, order)
+    samples = _first_samples(field_facts(near, order, fields), seen if small else None, order)
     histogram = F.map_filter(
         F.create_map(*[x for t in TYPES for x in (F.lit(t), F.col(t))]), lambda _, n: n > 0
     )
