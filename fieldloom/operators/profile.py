@@ -13,12 +13,15 @@ from fieldloom.session import cut_lineage
 # Names in the type histogram.
 TYPES = ["str", "int", "float", "bool", "list", "dict"]
 
+# Beyond every order value.
+NO_BOUND = 2**63 - 1
+
 # Groups the samples of a field are hashed into while looking for the first distinct ones; a
 # task sends at most this many rows per field.
 SAMPLE_GROUPS = 512
 
-# Up to this many fields with an open bound are picked out of the records by name.
-MAX_OPEN_FIELDS = 100
+# Up to this many fields, their bounds are written into the plan of the second pass.
+MAX_LISTED_FIELDS = 200
 
 # Field bounds up to this measured size are broadcast.
 MAX_BROADCAST_BYTES = 32 * 1024 * 1024
@@ -62,18 +65,39 @@ def _field_counts(groups: DataFrame) -> DataFrame:
     )
 
 
-def _first_samples(facts: DataFrame, bounds: DataFrame | None, order: str) -> DataFrame:
-    """First distinct samples per field by arrival.
+def _near_facts(records: DataFrame, counts: DataFrame, order: str, fields: str) -> DataFrame:
+    """Filled facts up to the bound of their field; later ones cannot be first samples.
 
-    Facts past the bound of their field cannot hold a first sample and are dropped before the
-    shuffle; the rank filter is also applied before its shuffle.
+    With few fields the bounds are literals, applied before the records are exploded. With many
+    they are joined to the facts when their measured size allows a broadcast, else left out:
+    the samples are the same, only more facts are looked at.
     """
-    near = facts.filter(_filled())
-    if bounds is not None:
-        near = near.join(F.broadcast(bounds), "field").filter(
+    bounds = counts.filter("non_null_count > 0").select("field", "bound")
+    measured = bounds.agg(
+        F.max("bound").alias("last"),
+        F.count_if(F.col("bound").isNull()).alias("open"),
+        F.sum(F.octet_length("field") + 16).alias("bytes"),
+    ).first()
+    if not measured.open:
+        records = records.filter(F.col(order) <= F.lit(measured.last))
+    listed = bounds.limit(MAX_LISTED_FIELDS + 1).collect()
+    if 0 < len(listed) <= MAX_LISTED_FIELDS:
+        ends = [(r.field, NO_BOUND if r.bound is None else r.bound) for r in listed]
+        ends = F.create_map(*[F.lit(part) for end in ends for part in end])
+        is_near = lambda name, _: F.col(order) <= F.try_element_at(ends, name)
+        records = records.withColumn(fields, F.map_filter(fields, is_near))
+    facts = field_facts(records, order, fields).filter(_filled())
+    if len(listed) > MAX_LISTED_FIELDS and measured.bytes <= MAX_BROADCAST_BYTES:
+        facts = facts.join(F.broadcast(bounds), "field").filter(
             F.col("bound").isNull() | (F.col(order) <= F.col("bound"))
         )
-    seen = near.groupBy("field", "sample").agg(F.min(order).alias("at"))
+    return facts
+
+
+def _first_samples(facts: DataFrame, order: str) -> DataFrame:
+    """First distinct samples per field by arrival; the rank filter is also applied before its
+    shuffle."""
+    seen = facts.groupBy("field", "sample").agg(F.min(order).alias("at"))
     by_arrival = Window.partitionBy("field").orderBy("at", "sample")
     ranked = seen.withColumn("rank", F.row_number().over(by_arrival))
     kept = ranked.filter(F.col("rank") <= C.MAX_SAMPLES)
@@ -81,43 +105,19 @@ def _first_samples(facts: DataFrame, bounds: DataFrame | None, order: str) -> Da
     return kept.groupBy("field").agg(F.transform(ordered, lambda s: s["sample"]).alias("samples"))
 
 
-def _near_records(
-    records: DataFrame, order: str, fields: str, last: int | None, still_open: list[str]
-) -> DataFrame:
-    """What can hold a first sample: records up to the last bound, and open fields after it."""
-    is_near = F.coalesce(F.col(order) <= F.lit(last), F.lit(False))
-    if not still_open:
-        return records.filter(is_near)
-    if len(still_open) > MAX_OPEN_FIELDS:
-        return records
-    names = F.array(*[F.lit(f) for f in still_open])
-    rest = F.map_filter(fields, lambda name, _: F.array_contains(names, name))
-    return records.withColumn(fields, F.when(is_near, F.col(fields)).otherwise(rest))
-
-
 def profile_fields(records: DataFrame, order: str, fields: str = "fields") -> DataFrame:
     """Statistics of every field over all records.
 
-    ``fields`` is a ``map<string,variant>`` and ``order`` a number unique to the record that
-    gives arrival order. The first pass keeps numbers only, a few rows per field and task; its
-    small result is checkpointed and bounds what the second pass has to look at. The bounds are
-    broadcast when their measured size allows it; otherwise the second pass aggregates without.
+    ``fields`` is a ``map<string,variant>`` and ``order`` a whole number unique to the record
+    that gives arrival order. The first pass keeps numbers only, a few rows per field and task;
+    its small result is checkpointed and bounds what the second pass has to look at.
     """
     counts = cut_lineage(_field_counts(_field_groups(field_facts(records, order, fields), order)))
-    seen = counts.filter("non_null_count > 0").select("field", "bound")
-    measured = counts.agg(
-        F.sum("records").alias("records"),
-        F.sum(F.octet_length("field") + 16).alias("bytes"),
-        F.max(F.when(F.col("non_null_count") > 0, F.col("bound"))).alias("last"),
-    ).first()
-    still_open = [r.field for r in seen.filter("bound is null").limit(MAX_OPEN_FIELDS + 1).collect()]
-    near = _near_records(records, order, fields, measured.last, still_open)
-    small = (measured.bytes or 0) <= MAX_BROADCAST_BYTES
-    samples = _first_samples(field_facts(near, order, fields), seen if small else None, order)
+    total = F.lit(counts.agg(F.sum("records")).first()[0]).cast("bigint")
+    samples = _first_samples(_near_facts(records, counts, order, fields), order)
     histogram = F.map_filter(
         F.create_map(*[x for t in TYPES for x in (F.lit(t), F.col(t))]), lambda _, n: n > 0
     )
-    total = F.lit(measured.records).cast("bigint")
     return (
         counts.filter("field is not null")
         .join(samples, "field", "left")
@@ -138,15 +138,16 @@ def field_coverage(results: DataFrame, data: str = "data") -> DataFrame:
     """Non-null count and share per top-level key over the records with data, largest first."""
     found = results.filter(J.has_data(F.col(data))).select(J.object_map(F.col(data)).alias("m"))
     exploded = found.select(F.posexplode("m").alias("at", "field", "value"))
-    counts = exploded.groupBy("field").agg(
-        F.count_if(~J.is_null(F.col("value"))).alias("count"),
-        F.count_if(F.col("at") == 0).alias("records"),
+    counts = cut_lineage(
+        exploded.groupBy("field").agg(
+            F.count_if(~J.is_null(F.col("value"))).alias("count"),
+            F.count_if(F.col("at") == 0).alias("records"),
+        )
     )
-    total = counts.agg(F.sum("records").alias("total"))
+    total = F.lit(counts.agg(F.sum("records")).first()[0]).cast("bigint")
     return (
-        counts.crossJoin(F.broadcast(total))
-        .filter("count > 0")
-        .select("field", "count", (F.col("count") / F.col("total") * 100).alias("percentage"))
+        counts.filter("count > 0")
+        .select("field", "count", (F.col("count") / total * 100).alias("percentage"))
         .orderBy(F.desc("count"), "field")
     )
 

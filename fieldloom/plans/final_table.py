@@ -13,7 +13,7 @@ from fieldloom.operators.flatten import flatten_results
 from fieldloom.operators.profile import profile_fields
 from fieldloom.operators.schema import WideColumn, collect_columns, derive_schema
 from fieldloom.operators.unify import unify, unify_objects
-from fieldloom.session import configure
+from fieldloom.session import configure, cut_lineage
 from fieldloom.sources import readers as R
 from fieldloom.sources import writers as W
 
@@ -39,7 +39,7 @@ def build_final_table(
     """Flatten, profile, derive the schema and project results (``url_id, url, data``, order)."""
     configure(results.sparkSession)
     records = flatten_results(results).select(order, "fields")
-    profile = profile_fields(records, order)
+    profile = cut_lineage(profile_fields(records, order))
     schema = derive_schema(profile, threshold, strict_compat)
     columns = collect_columns(schema)
     table = unify(records, columns, misc_limit=misc_limit)

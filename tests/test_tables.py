@@ -94,8 +94,10 @@ def test_profile_matches_loop(spark, monkeypatch, seed, groups):
     assert spark_profile(profile_fields(records_of(spark, objects, 8), "pos")) == expected
 
 
-def test_profile_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(profile_ops, "MAX_BROADCAST_BYTES", -1)
+@pytest.mark.parametrize("broadcast_bytes", [-1, 10**6])
+def test_profile_of_many_fields(spark, monkeypatch, broadcast_bytes):
+    monkeypatch.setattr(profile_ops, "MAX_LISTED_FIELDS", 3)
+    monkeypatch.setattr(profile_ops, "MAX_BROADCAST_BYTES", broadcast_bytes)
     objects = random_objects(3, 200)
     found = spark_profile(profile_fields(records_of(spark, objects), "pos"))
     assert found == python_profile(objects)
