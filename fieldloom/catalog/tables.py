@@ -12,8 +12,9 @@ from fieldloom.operators import reports
 from fieldloom.operators.flatten import field_facts, flatten_results
 from fieldloom.operators.outcomes import result_records
 from fieldloom.operators.profile import distinct_fields, field_coverage, profile_fields
-from fieldloom.operators.schema import derive_schema
+from fieldloom.operators.schema import derive_schema, label_facts
 from fieldloom.plans.final_table import build_final_table
+from fieldloom.session import cut_lineage
 
 
 @register(f"with {I.RAGGED_SQL}, {I.PROFILE_SQL} {I.PROFILE_SELECT_SQL}")
@@ -102,6 +103,24 @@ def derived_schema(spark: SparkSession, folder: str) -> DataFrame:
     return derive_schema(profile, threshold=0.1)
 
 
+@register(
+    f"""
+with {I.RAGGED_SQL}, {I.PROFILE_SQL}
+select facts.field,
+  case when non_null_count / total.n >= 0.1 then 'standard' else 'misc' end as role,
+  count(*) as facts, min(pos) as first_at
+from facts join counts using (field) cross join total group by 1, 2
+"""
+)
+def field_roles(spark: SparkSession, folder: str) -> DataFrame:
+    records = I.ragged_records(spark, folder)
+    schema = cut_lineage(derive_schema(profile_fields(records, "pos"), threshold=0.1))
+    labelled = label_facts(field_facts(records, "pos"), schema)
+    return labelled.groupBy("field", "role").agg(
+        F.count("*").alias("facts"), F.min("pos").alias("first_at")
+    )
+
+
 @register(
     """
 with records as (select * from customer where c_custkey % 10 <> 9)

@@ -222,7 +222,7 @@ def value_cleaning(spark: SparkSession, folder: str) -> DataFrame:
 
 ARTICLE_SQL = f"""
 article as (
-  select page_id, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|\z)', 1) as raw from pages
+  select page_id, regexp_extract(html, '(?s)<article>(.*?)(?:</article>|\\z)', 1) as raw from pages
 ),
 tagless as (
   select page_id, regexp_replace(regexp_replace(raw, '</?(b|a)( [^>]*)?>', '', 'g'),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom import constants as C
+from fieldloom.session import broadcast_if_small
 
 # A wider table is refused, not cut: raise the limit or the frequency threshold.
 MAX_COLUMNS = 5_000
@@ -71,6 +72,12 @@ def derive_schema(
     )
 
 
+def label_facts(facts: DataFrame, schema: DataFrame) -> DataFrame:
+    """Long form with the role of each field, for tables too wide to project."""
+    roles = broadcast_if_small(schema.select("field", "role"), "field")
+    return facts.join(roles, "field")
+
+
 def collect_columns(schema: DataFrame, limit: int = MAX_COLUMNS) -> list[WideColumn]:
     """Standard columns in order; the only rows that reach the driver, and a checked number."""
     rows = (

@@ -7,6 +7,7 @@ import tempfile
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     # A JSON object may repeat a key; the last one counts.
@@ -14,6 +15,8 @@ SETTINGS = {
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     # CSV files come in more character sets than the reader accepts by default.
     "spark.sql.legacy.javaCharsets": "true",
+    # Generated methods the JVM would not compile are left to smaller ones instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # Pages and replies are long texts, so Arrow batches are bounded by bytes, not by rows alone.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
@@ -31,6 +34,12 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def broadcast_if_small(df: DataFrame, text_column: str, limit: int = 32 * 1024 * 1024) -> DataFrame:
+    """Hint a broadcast when the measured size of a narrow table allows it."""
+    size = df.agg(F.sum(F.octet_length(text_column) + 64)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder the cluster names and continue from there."""
     context = df.sparkSession.sparkContext

@@ -116,7 +116,7 @@ def test_nested_get_and_required(spark):
     assert apply(spark, texts, lambda v: J.has_data(value(v))) == [True, True, False, False]
 
 
-def reference_slice(text):
+def counted_slice(text):
     """Brace counting character by character."""
     start = text.find("{")
     depth = 0
@@ -130,4 +130,4 @@ def reference_slice(text):
 @settings(max_examples=5, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.text(alphabet='{}a"é ', max_size=30), min_size=20, max_size=40))
 def test_balanced_slice_matches_counting(spark, texts):
-    assert apply(spark, texts, J.balanced_slice) == [reference_slice(t) for t in texts]
+    assert apply(spark, texts, J.balanced_slice) == [counted_slice(t) for t in texts]
