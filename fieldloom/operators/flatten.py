@@ -7,67 +7,87 @@ from pyspark.sql import functions as F
 
 from fieldloom import constants as C
 from fieldloom.functions import json as J
+from fieldloom.functions import text as X
+
+
+def _get(block: Column, key: str) -> Column:
+    return F.try_element_at(block, F.lit(key))
 
 
 def _pick(block: Column, picks: dict[str, Column]) -> Column:
-    """Fields of a block under their flat names; no fields when the block is no object."""
+    """Fields of a block under their flat names; null when the block is absent."""
     entries = [part for name, value in picks.items() for part in (F.lit(name), value)]
     return F.when(block.isNotNull(), F.create_map(*entries))
 
 
-def _get(block: Column, key: str) -> Column:
-    return F.try_element_at(block, F.lit(key))
-
-
 def _joined(block: Column, key: str) -> Column:
     """List as joined text: empty when absent, null when null, text as it is."""
-    value = _get(block, key)
-    items = F.when(J.value_type(value) == "list", J.list_text(value))
-    return (
-        F.when(value.isNull(), F.lit("").cast("variant"))
-        .when(items.isNotNull(), items.cast("variant"))
-        .otherwise(value)
+
+    def joined(value: Column) -> Column:
+        return (
+            F.when(value.isNull(), F.lit("").cast("variant"))
+            .when(J.value_type(value) == "list", J.list_text(value).cast("variant"))
+            .otherwise(value)
+        )
+
+    return X.let(_get(block, key), joined)
+
+
+def _payment(block: Column) -> Column:
+    return _pick(
+        block,
+        {
+            "estimated_salary_irr": _get(block, "estimated_range_irr"),
+            "salary_reasoning": _get(block, "reasoning"),
+        },
     )
 
 
-def flat_fields(data: Column) -> Column:
-    """Flat ``map<string,variant>`` of a nested analysis; on equal names the later block counts."""
-    blocks = J.object_map(data)
-    standard = J.object_map(_get(blocks, "standard_extraction"))
-    payment = J.object_map(_get(blocks, "payment_analysis"))
-    fit = J.object_map(_get(blocks, "candidate_fit"))
-    judged = _get(blocks, "is_overqualified")
-    judged_map = J.object_map(judged)
-    growth = _get(blocks, "growth_potential")
-    return J.merge_maps(
-        standard,
-        _pick(
-            payment,
-            {
-                "estimated_salary_irr": _get(payment, "estimated_range_irr"),
-                "salary_reasoning": _get(payment, "reasoning"),
-            },
-        ),
-        _pick(
-            fit,
-            {
-                "fit_tier": _get(fit, "tier"),
-                "fit_summary": _get(fit, "summary"),
-                "fit_strengths": _joined(fit, "strengths"),
-                "fit_gaps": _joined(fit, "gaps"),
-            },
-        ),
-        _pick(
-            judged,
+def _fit(block: Column) -> Column:
+    return _pick(
+        block,
+        {
+            "fit_tier": _get(block, "tier"),
+            "fit_summary": _get(block, "summary"),
+            "fit_strengths": _joined(block, "strengths"),
+            "fit_gaps": _joined(block, "gaps"),
+        },
+    )
+
+
+def _judged(value: Column) -> Column:
+    """A plain value stands for itself, without a reason."""
+
+    def pick(block: Column) -> Column:
+        return _pick(
+            value,
             {
-                "is_overqualified": F.when(judged_map.isNull(), judged).otherwise(
-                    _get(judged_map, "value")
-                ),
-                "overqualified_reasoning": _get(judged_map, "reasoning"),
+                "is_overqualified": F.when(block.isNull(), value).otherwise(_get(block, "value")),
+                "overqualified_reasoning": _get(block, "reasoning"),
             },
-        ),
-        _pick(growth, {"growth_potential": growth}),
-    )
+        )
+
+    return X.let(J.object_map(value), pick)
+
+
+def flat_fields(data: Column) -> Column:
+    """Flat ``map<string,variant>`` of a nested analysis; on equal names the later block counts."""
+
+    def flatten(blocks: Column) -> Column:
+        def block(name: str) -> Column:
+            return J.object_map(_get(blocks, name))
+
+        return J.merge_maps(
+            block("standard_extraction"),
+            X.let(block("payment_analysis"), _payment),
+            X.let(block("candidate_fit"), _fit),
+            X.let(_get(blocks, "is_overqualified"), _judged),
+            X.let(
+                _get(blocks, "growth_potential"), lambda value: _pick(value, {"growth_potential": value})
+            ),
+        )
+
+    return X.let(J.object_map(data), flatten)
 
 
 def flatten_results(
