@@ -44,11 +44,11 @@ def add_columns(
     df: DataFrame,
     text: str,
     added: Sequence[StructField],
-    work: Callable[[], Callable[[list[str]], list[pa.Array]]],
+    work: Callable[[], Callable[[pa.RecordBatch], list[pa.Array]]],
 ) -> DataFrame:
     """``df`` with columns computed from its texts in one Arrow pass, a bounded step at a time.
 
-    ``work`` is called once per task and gives a function from texts to the arrays of ``added``.
+    ``work`` is called once per task and gives a function from rows to the arrays of ``added``.
     Columns of ``df`` with the name of an added one are replaced.
     """
     names = {field.name.lower() for field in added}
@@ -59,7 +59,7 @@ def add_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         act = work()
         for part in steps(batches, text):
-            arrays = act(texts(part, text))
+            arrays = act(part)
             yield pa.RecordBatch.from_arrays([column(part, f.name) for f in kept] + arrays, names=labels)
 
     return df.mapInArrow(run, schema)

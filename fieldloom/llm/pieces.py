@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField
 
-from fieldloom.llm.batches import ChunkTable, add_columns, kept_table
+from fieldloom.llm.batches import ChunkTable, add_columns, kept_table, texts
 
 MARK = "▁"
 _marked_words = re.compile(" +[^ ]*").findall
@@ -98,7 +98,8 @@ def encode(
         use = PieceModel(model)
         table = kept_table(("pieces", model), lambda: ChunkTable(use.segment))
 
-        def act(values: list[str]) -> list[pa.Array]:
+        def act(part: pa.RecordBatch) -> list[pa.Array]:
+            values = texts(part, text)
             if use.by_word:
                 words = [_words(value) for value in values]
                 table.learn(word for row in words for word in row)
