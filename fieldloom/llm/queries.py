@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import exact, packing, pieces, shards, substrings, wordpieces
+from fieldloom.llm import exact, jaccard, packing, pieces, shards, substrings, wordpieces
 from fieldloom.llm.stage import whole_text, written
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -29,6 +29,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its number of shingles and the component of its links."""
+    return jaccard.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every document and of the text they decode to."""
     encoded = pieces.encode(documents(spark, sf_dir), PIECE_MODEL, decoded="decoded")
@@ -65,7 +70,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_sentencepiece, op6_sharding, op8_best_fit_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_ngram_jaccard, op5_sentencepiece, op6_sharding, op8_best_fit_packing, op10_substring_dedup)}
 
 ORACLES = {
     "op2_exact_dedup": """
