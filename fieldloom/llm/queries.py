@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import exact, jaccard, packing, pieces, shards, substrings, wordpieces
+from fieldloom.llm import exact, jaccard, packing, pieces, shards, substrings, toxicity, wordpieces
 from fieldloom.llm.stage import whole_text, written
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -23,6 +23,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, learned from labels that are not held out."""
+    scored = toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the copy that stays for it."""
     marked = exact.mark_duplicates(documents(spark, sf_dir))
@@ -70,7 +76,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_ngram_jaccard, op5_sentencepiece, op6_sharding, op8_best_fit_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op4_ngram_jaccard, op5_sentencepiece, op6_sharding, op8_best_fit_packing, op10_substring_dedup)}
 
 ORACLES = {
     "op2_exact_dedup": """
