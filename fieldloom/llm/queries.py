@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import exact, jaccard, packing, pieces, shards, substrings, toxicity, wordpieces
+from fieldloom.llm import exact, fingerprints, jaccard, packing, pieces, shards, substrings, toxicity, wordpieces
 from fieldloom.llm.stage import whole_text, written
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -63,6 +63,20 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(rows, 16).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sketch, its edited text's, and how alike they are."""
+    rows = fingerprints.edited_pairs(documents(spark, sf_dir))
+    return rows.select(
+        "doc_id",
+        F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 4096 tokens."""
     cut = wordpieces.token_pieces(documents(spark, sf_dir), WORD_MODEL)
@@ -76,7 +90,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op4_ngram_jaccard, op5_sentencepiece, op6_sharding, op8_best_fit_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op4_ngram_jaccard, op5_sentencepiece, op6_sharding, op7_fingerprints, op8_best_fit_packing, op10_substring_dedup)}
 
 ORACLES = {
     "op2_exact_dedup": """
