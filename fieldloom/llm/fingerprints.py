@@ -29,10 +29,15 @@ def word_hashes(text: Column) -> Column:
 def shingle_hashes(hashes: Column, n: int = SHINGLE) -> Column:
     """Hashes of runs of ``n`` words from the words' hashes; of all words where there are fewer.
 
-    Beyond the end there are nulls, which the hash passes over.
+    Beyond the end there are nulls, which the hash passes over. The array is bound to a variable,
+    so that it is computed once wherever the optimizer puts the expression.
     """
-    runs = F.transform(hashes, lambda x, i: F.xxhash64(x, *[F.get(hashes, i + k) for k in range(1, n)]))
-    return F.slice(runs, 1, F.greatest(F.least(F.lit(1), F.size(hashes)), F.size(hashes) - (n - 1)))
+
+    def runs(bound: Column) -> Column:
+        every = F.transform(bound, lambda x, i: F.xxhash64(x, *[F.get(bound, i + k) for k in range(1, n)]))
+        return F.slice(every, 1, F.greatest(F.least(F.lit(1), F.size(bound)), F.size(bound) - (n - 1)))
+
+    return F.element_at(F.transform(F.array(hashes), runs), 1)
 
 
 def least(hashes: Column, k: int = K) -> Column:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import exact, fingerprints, jaccard, packing, pieces, shards, substrings, toxicity, wordpieces
+from fieldloom.llm import exact, fingerprints, jaccard, licenses, packing, pieces, shards, substrings, toxicity, wordpieces
 from fieldloom.llm.stage import whole_text, written
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -84,13 +84,18 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(narrow).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every license statement found in a document."""
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document without those of passages that come earlier."""
     kept = substrings.remove_repeats(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op4_ngram_jaccard, op5_sentencepiece, op6_sharding, op7_fingerprints, op8_best_fit_packing, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op4_ngram_jaccard, op5_sentencepiece, op6_sharding, op7_fingerprints, op8_best_fit_packing, op9_license_scans, op10_substring_dedup)}
 
 ORACLES = {
     "op2_exact_dedup": """
