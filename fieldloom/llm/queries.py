@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import exact, fingerprints, jaccard, licenses, packing, pieces, shards, substrings, toxicity, wordpieces
+from fieldloom.llm import exact, fingerprints, jaccard, licenses, packing, pieces, shards, substrings, toxicity, wordpieces, wrappers
 from fieldloom.llm.stage import whole_text, written
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -35,6 +35,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    read = wrappers.extract_articles(pages)
+    return read.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its number of shingles and the component of its links."""
     return jaccard.near_duplicates(documents(spark, sf_dir))
@@ -95,7 +102,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op4_ngram_jaccard, op5_sentencepiece, op6_sharding, op7_fingerprints, op8_best_fit_packing, op9_license_scans, op10_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_html_extraction, op4_ngram_jaccard, op5_sentencepiece, op6_sharding, op7_fingerprints, op8_best_fit_packing, op9_license_scans, op10_substring_dedup)}
 
 ORACLES = {
     "op2_exact_dedup": """
