@@ -74,3 +74,15 @@ def mark_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", di
         F.col(key).eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("_sha256").alias("text_sha256"),
     )
+
+
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, once each: of equal texts the one with the largest key.
+
+    Who stays is found on keys and digests; whole rows move once, by key, to meet that list.
+    """
+    marked = mark_duplicates(docs.select(key, text), key, text).where("kept")
+    staying = marked.select(F.col(key).alias("_key"), F.col("text_sha256").alias("_own")).distinct()
+    rows = docs.withColumn("_sha256", text_digest(whole_text(text)))
+    met = rows.join(staying, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_sha256") == F.col("_own")), "left_semi")
+    return met.dropDuplicates([key, "_sha256"]).drop("_sha256")
