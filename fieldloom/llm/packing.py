@@ -90,14 +90,15 @@ def _packed(items: DataFrame, round_: int, groups: int, capacity: int) -> DataFr
     return written(dealt.groupBy("_group").applyInPandas(fill, schema))
 
 
-def pack(items: DataFrame, capacity: int = 4096, group_rows: int = GROUP_ROWS, rounds: int = 8) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 4096, group_rows: int = GROUP_ROWS, rounds: int = 5) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces with a ``length`` from 1 to ``capacity``.
 
     Pieces are dealt over groups of about ``group_rows``; each is packed best fit decreasing, and
-    a bound tells whether it could have fewer bins. Groups that could give away the pieces of
-    their bins with space left; these are dealt anew, over fewer groups, and packed again, as long
-    as that saves bins. Rounds end when a round saves none or all bins together meet the bound
-    of the whole table. Every piece keeps its row, repeated rows too; all columns should be
+    its bound tells whether it could have fewer bins by itself. While all bins together exceed the
+    bound of the whole table, the groups exchange: the pieces of bins with space left, and all
+    pieces of groups above their own bound, are dealt anew, over groups twice as large each round
+    (sixteen times at most), and packed again; a round's result is taken if it saves bins.
+    Every piece keeps its row, repeated rows too; all columns should be
     narrow, as they travel along. Null or impossible lengths raise an error. Columns named
     ``sequence_id`` or ``offset`` are replaced. An empty table gives no rows.
     """
@@ -112,22 +113,16 @@ def pack(items: DataFrame, capacity: int = 4096, group_rows: int = GROUP_ROWS, r
     needed = bin_bound(all_lengths, capacity)
     packed = _packed(items, 0, max(1, -(-rows // group_rows)), capacity)
     for round_ in range(1, rounds):
+        opens = F.col("_offset") == 0
+        loose = (F.col("_fill") < capacity) | (F.col("_bins") > F.col("_bound"))
         bins, loose_bins, loose_rows = packed.agg(
-            F.sum((F.col("_offset") == 0).cast("long")),
-            F.sum((_loose(capacity) & (F.col("_offset") == 0)).cast("long")),
-            F.sum(_loose(capacity).cast("long")),
+            F.sum(opens.cast("long")), F.sum((loose & opens).cast("long")), F.sum(loose.cast("long"))
         ).first()
         if not loose_rows or bins == needed:
             break
-        again = _packed(packed.where(_loose(capacity)), round_, max(1, -(-loose_rows // group_rows)), capacity)
-        if again.where("_offset = 0").count() >= loose_bins:
-            break
-        packed = packed.where(~_loose(capacity)).unionByName(again)
+        again = _packed(packed.where(loose), round_, max(1, -(-loose_rows // (group_rows << round_))), capacity)
+        if again.where(opens).count() < loose_bins:
+            packed = packed.where(~loose).unionByName(again)
     sequence = F.col("_round") * F.lit(1 << 56) + F.col("_group") * F.lit(BIN_SPAN) + F.col("_bin")
     return packed.select(*items.columns, sequence.alias("sequence_id"), F.col("_offset").alias("offset"))
 
-
-def _loose(capacity: int):
-    """Whether a row lies in a bin with space left, in a group its bound does not certify."""
-    return (F.col("_bins") > F.col("_bound")) & (F.col("_fill") < capacity)
-
