@@ -103,22 +103,38 @@ def normalize_amount(spark: SparkSession, folder: str) -> DataFrame:
     return I.table(spark, folder, "customer").select("c_custkey", amount.alias("amount"))
 
 
+# Crawled forms of a page's URL: odd characters, a port, a user, no scheme.
+_URL_FORMS = """case page_id % 7
+        when 0 then url
+        when 1 then replace(url, '/en/', '/x|y/')
+        when 2 then concat(url, '&q={a b}')
+        when 3 then replace(replace(url, '://blog.', '://blog_1.'), '://www.', '://www_1.')
+        when 4 then concat('HTTP://user:pw@Blog.example.org:8080/', cast(page_id as varchar(20)))
+        when 5 then concat('example.org/', cast(page_id as varchar(20)))
+        else concat('//blog.example.org:443?', cast(page_id as varchar(20))) end"""
+
+
 @register(
-    """
-with p as (
-  select page_id, url, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) as authority
-  from pages
+    f"""
+with u as (select page_id, {_URL_FORMS} as url from pages),
+p as (
+  select page_id, url,
+    lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)) as authority
+  from u
 )
-select page_id, authority, contains(regexp_replace(authority, ':[0-9]+$', ''), 'blog.')
+select page_id, authority, regexp_replace(regexp_replace(authority, '^.*@', ''), ':[0-9]*$', '')
+  as host, contains(regexp_replace(regexp_replace(authority, '^.*@', ''), ':[0-9]*$', ''), 'blog.')
   as is_blog, sha256(url) as url_key
 from p
 """
 )
 def url_host(spark: SparkSession, folder: str) -> DataFrame:
     url = F.col("url")
-    return I.table(spark, folder, "pages").select(
+    pages = I.table(spark, folder, "pages").select("page_id", F.expr(_URL_FORMS).alias("url"))
+    return pages.select(
         "page_id",
         X.url_authority(url).alias("authority"),
+        X.url_host(url).alias("host"),
         X.host_contains(url, "blog.").alias("is_blog"),
         X.url_key(url).alias("url_key"),
     )

@@ -101,14 +101,21 @@ def to_boolean(text: Column) -> Column:
     return text.try_cast("boolean")
 
 
+# What follows "//" after an optional scheme, as far as a path, a query or a fragment begins. Crawled
+# URLs hold characters that strict parsers refuse, so none is used.
+_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
+
+
 def url_authority(url: Column) -> Column:
-    """Lower-case authority of a URL, with port and user part, or ``unknown``."""
-    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("AUTHORITY"))), F.lit("unknown"))
+    """Lower-case authority of a URL, with port and user part; empty without ``//``, ``unknown`` for null."""
+    return F.coalesce(F.lower(F.regexp_extract(url, _AUTHORITY, 1)), F.lit("unknown"))
 
 
 def url_host(url: Column) -> Column:
-    """Lower-case host of a URL, empty when there is none."""
-    return F.coalesce(F.lower(F.try_parse_url(url, F.lit("HOST"))), F.lit(""))
+    """Lower-case host of a URL, without user part, port and brackets; empty when there is none."""
+    authority = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), _AUTHORITY, 1))
+    host = F.regexp_replace(authority, r"^.*@|:[0-9]*$", "")
+    return F.regexp_replace(host, r"[\[\]]", "")
 
 
 def host_contains(url: Column, part: str) -> Column:

@@ -24,8 +24,12 @@ def assemble_prompts(
     text: str = "content",
     separator: str = C.PROMPT_SEPARATOR,
 ) -> DataFrame:
-    """Add ``prompt``: the one-row template, the separator, the text."""
-    one = template.select(F.col("template")).limit(1)
+    """Add ``prompt``: the one-row template, the separator, the text.
+
+    Any other number of templates ends the job with an error.
+    """
+    several = F.raise_error(F.lit("exactly one template is needed")).cast("string")
+    one = template.agg(F.when(F.count(F.lit(1)) == 1, F.first("template")).otherwise(several).alias("template"))
     prompt = F.concat("template", F.lit(separator), F.col(text))
     return texts.crossJoin(F.broadcast(one)).withColumn("prompt", prompt).drop("template")
 

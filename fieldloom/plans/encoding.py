@@ -12,9 +12,16 @@ from fieldloom.sources import writers as W
 def repair_csv(
     spark: SparkSession, path: str | list[str], output: str, fallback: str = "windows-1256"
 ) -> DataFrame:
-    """Read each file in its character set and write all as UTF-8 with a byte order mark."""
-    W.write_csv(R.read_csv_any_charset(configure(spark), path, fallback), output)
-    return spark.read.csv(output, header=True)
+    """Write each file again as UTF-8 with a byte order mark, in a folder that bears its name.
+
+    Files keep their own headers and values, whatever these hold. Gives all rows of the output,
+    with the file's name, a column that a file lacks being null.
+    """
+    parts = R.read_csv_groups(configure(spark), path, fallback)
+    for at, part in enumerate(parts):
+        W.write_csv(part, output, by=R.SOURCE_FILE, mode="append" if at else "overwrite")
+    folders = f"{output}/{R.SOURCE_FILE}=*"
+    return R.read_csv_any_charset(spark, folders) if parts else spark.read.csv(path, header=True)
 
 
 def head(rows: DataFrame, n: int = 2) -> DataFrame:

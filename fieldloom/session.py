@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -22,11 +21,23 @@ SETTINGS = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(64 * 1024 * 1024),
 }
 
+# Settings that only change speed and memory, with Spark's defaults.
+DEFAULTS = {
+    "spark.sql.codegen.hugeMethodLimit": "65535",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "67108864",
+}
+TUNING = frozenset(DEFAULTS)
+
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Set the SQL options every job here needs; all are runtime options of the session."""
+    """Set the SQL options every job here needs; all are runtime options of the session.
+
+    Batch sizes and the limit of generated methods stay as they are where the caller set them.
+    """
     for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+        if key not in TUNING or spark.conf.get(key, None) in (None, DEFAULTS.get(key)):
+            spark.conf.set(key, value)
     # The few Python helpers travel with the tasks, so executors need no installed copy.
     package = sys.modules[__package__]
     if package.__name__ not in cloudpickle.list_registry_pickle_by_value():
@@ -41,13 +52,13 @@ def broadcast_if_small(df: DataFrame, text_column: str, limit: int = 32 * 1024 *
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder the cluster names and continue from there."""
-    context = df.sparkSession.sparkContext
+    """Write ``df`` to the checkpoint folder the cluster names and continue from there.
+
+    Without one, checkpoints go beside the warehouse's tables, which all executors reach too.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="fieldloom-checkpoint-")
-        context.setCheckpointDir(folder)
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or shared)
     return df.checkpoint()

@@ -9,6 +9,9 @@ from fieldloom.functions import json as J
 from fieldloom.functions import text as X
 from fieldloom.operators.incremental import latest
 
+# Column and folder that name the file a CSV row came from.
+SOURCE_FILE = "source_file"
+
 
 def with_ordinal(lines: DataFrame, keep) -> DataFrame:
     """Number the kept rows of a file scan from 1, in order of file and place in the file.
@@ -57,31 +60,17 @@ def read_url_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def read_template(spark: SparkSession, path: str) -> DataFrame:
-    """One-row ``template`` from a UTF-8 text file, stripped."""
+    """One-row ``template`` from the one UTF-8 text file of a path, stripped.
+
+    Several files, or none, are an error: which one counts would be chance.
+    """
     whole = spark.read.text(path, wholetext=True)
+    found = whole.count()
+    if found != 1:
+        raise ValueError(f"{path} holds {found} templates; exactly one is needed")
     return whole.select(X.strip(F.col("value")).alias("template"))
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Crawled pages: ``url, html`` and whatever else the table holds."""
-    return spark.read.parquet(path)
-
-
-def cached_texts(texts: DataFrame) -> DataFrame:
-    """Stored texts that are long enough to be used again."""
-    return texts.filter(X.is_substantial(F.col("content")))
-
-
-def cached_replies(replies: DataFrame) -> DataFrame:
-    """Stored replies that hold data."""
-    return replies.filter(J.has_data(F.col("parsed_response")))
-
-
-def cached_results(results: DataFrame) -> DataFrame:
-    """Stored results whose data is not null."""
-    return results.filter(~J.is_null(F.col("data")))
-
-
 def read_json_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """``file, modified, text, record``: one JSON document per file, null when it is not valid."""
     files = spark.read.text(path, wholetext=True)
@@ -131,36 +120,64 @@ def latest_by_modification(records: DataFrame, keys: list[str]) -> DataFrame:
     return latest(records, keys, "modified", "file")
 
 
-def csv_charsets(spark: SparkSession, path: str | list[str], fallback: str) -> DataFrame:
-    """``file, charset``: UTF-8 where all bytes of a file are valid, else the named fallback.
+def csv_kinds(spark: SparkSession, path: str | list[str], fallback: str) -> DataFrame:
+    """``file, charset, multiline, header`` of CSV files.
 
-    Lines are tested where they are read, so a large file is split over tasks and only one flag
-    per file and task is shuffled.
+    A file is UTF-8 where all its bytes are valid, else in the named fallback. It is multi-line
+    where some line has an odd number of quotes, so that a quoted value goes on behind the line.
+    ``header`` is the first line as it was read. Lines are tested where they are read, so a large
+    file is split over tasks and only one row per file and task is shuffled.
     """
     lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid")
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+        F.is_valid_utf8("value").alias("valid"),
+        ((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).alias("open"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.regexp_replace("value", "^\ufeff", "")).alias("value"),
+    )
+    return lines.groupBy("file").agg(
+        F.when(F.bool_and("valid"), "UTF-8").otherwise(fallback).alias("charset"),
+        F.bool_or("open").alias("multiline"),
+        F.min_by("value", F.struct("block", "row")).alias("header"),
     )
-    charset = F.when(F.bool_and("valid"), "UTF-8").otherwise(fallback)
-    return lines.groupBy("file").agg(charset.alias("charset"))
+
+
+def csv_charsets(spark: SparkSession, path: str | list[str], fallback: str) -> DataFrame:
+    """``file, charset`` of CSV files."""
+    return csv_kinds(spark, path, fallback).select("file", "charset")
+
+
+def read_csv_groups(
+    spark: SparkSession, path: str | list[str], fallback: str = "windows-1256", **options
+) -> list[DataFrame]:
+    """CSV files with a header: one table per group of files that read alike, with ``source_file``.
+
+    Quotes in values are doubled, values may hold commas, quotes and line breaks, and headers may
+    differ between groups. A file is one task only where its values hold line breaks. One row per
+    file reaches the driver, as in any file listing of Spark; contents do not.
+    """
+    named = {"header": True, "enforceSchema": False, "escape": '"', **options}
+    groups: dict[tuple, list[str]] = {}
+    for row in csv_kinds(spark, path, fallback).toLocalIterator():
+        groups.setdefault((row.charset, row.multiline, row.header), []).append(row.file)
+    read = [
+        spark.read.options(**named).csv(sorted(files), encoding=charset, multiLine=multiline)
+        for (charset, multiline, _), files in sorted(groups.items(), key=lambda g: min(g[1]))
+    ]
+    return [df.select("*", F.col("_metadata.file_name").alias(SOURCE_FILE)) for df in read]
 
 
 def read_csv_any_charset(
     spark: SparkSession, path: str | list[str], fallback: str = "windows-1256", **options
 ) -> DataFrame:
-    """CSV files with a header, each read in its own character set.
+    """All rows of CSV files with a header, each file read in its own character set.
 
-    File names reach the driver, as they do in any file listing of Spark; contents do not.
+    Columns that a file lacks are null; the name of the file is not kept.
     """
-    named = {"header": True, "enforceSchema": False, **options}
-    groups: dict[str, list[str]] = {}
-    for row in csv_charsets(spark, path, fallback).toLocalIterator():
-        groups.setdefault(row.charset, []).append(row.file)
-    parts = [
-        spark.read.options(**named).csv(files, encoding=charset)
-        for charset, files in sorted(groups.items())
-    ]
+    parts = [df.drop(SOURCE_FILE) for df in read_csv_groups(spark, path, fallback, **options)]
     if not parts:
-        return spark.read.options(**named).csv(path)
+        return spark.read.options(header=True, **options).csv(path)
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part, allowMissingColumns=True)

@@ -20,6 +20,11 @@ def append_run(rows: DataFrame, path: str, run_id: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
+def append_part(rows: DataFrame, path: str, run_id: str, part: int) -> None:
+    """Write one part of a run's rows to a stage table; parts written before stay."""
+    rows.write.mode("overwrite").parquet(f"{path}/run_id={run_id}/part={part}")
+
+
 def earlier_runs(spark: SparkSession, path: str, schema: str, run_id: str) -> DataFrame:
     """Rows other runs wrote to a stage table; empty when there are none."""
     expected = T.StructType.fromDDL(f"{schema}, run_id string")
@@ -32,11 +37,13 @@ def earlier_runs(spark: SparkSession, path: str, schema: str, run_id: str) -> Da
     return rows.filter(F.col("run_id") != run_id)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with header, each part file in UTF-8 with a byte order mark."""
+def write_csv(df: DataFrame, path: str, by: str | None = None, mode: str = "overwrite") -> None:
+    """CSV with header, each part file in UTF-8 with a byte order mark; a folder per value of ``by``."""
     first = df.columns[0]
-    marked = df.withColumnRenamed(first, BOM + first)
-    marked.write.mode("overwrite").csv(path, header=True, encoding="UTF-8", escape='"')
+    writer = df.withColumnRenamed(first, BOM + first).write.mode(mode)
+    if by is not None:
+        writer = writer.partitionBy(by)
+    writer.csv(path, header=True, encoding="UTF-8", escape='"')
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -261,3 +261,54 @@ def test_json_rows_keep_text_and_nulls(spark, tmp_path):
 def test_stamp(spark):
     stamp = spark.range(1).select(X.run_stamp().alias("s")).first().s
     assert len(stamp) == 15 and stamp[8] == "_"
+
+
+def test_csv_repair_keeps_every_value(spark, tmp_path):
+    import csv
+
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    files = {
+        "a.csv": ("utf-8", [["id", "said"], ["1", 'say "hi, you" now'], ["2", "two\nlines, \"quoted\""], ["3", ""]]),
+        "b.csv": ("utf-8-sig", [["id", "said"], ["4", "plain, comma"], ["5", '"']]),
+        "c.csv": ("cp1256", [["نام", "id", "x"], ["سارا \"و\" علي", "6", "a,b"]]),
+    }
+    for name, (charset, rows) in files.items():
+        with open(folder / name, "w", encoding=charset, newline="") as file:
+            csv.writer(file, lineterminator="\n").writerows(rows)
+    out = tmp_path / "fixed"
+    fixed = repair_csv(spark, str(folder), str(out))
+    for name, (_, rows) in files.items():
+        found = []
+        for part in sorted((out / f"source_file={name}").glob("part-*.csv")):
+            assert part.read_bytes().startswith(b"\xef\xbb\xbf")
+            with open(part, encoding="utf-8-sig", newline="") as file:
+                own = list(csv.reader(file, escapechar=None))
+            assert own[0] == rows[0]
+            found += own[1:]
+        assert sorted(found) == sorted([v if v else "" for v in row] for row in rows[1:])
+    assert sorted((r.id, r.said) for r in fixed.collect() if r.said is not None) == sorted(
+        (i, t) for name in ("a.csv", "b.csv") for i, t in files[name][1][1:] if t
+    )
+    again = repair_csv(spark, str(out / "source_file=a.csv"), str(tmp_path / "again"))
+    assert sorted((r.id, r.said or "") for r in again.collect()) == sorted((i, t) for i, t in files["a.csv"][1][1:])
+
+
+def test_one_template_or_an_error(spark, tmp_path):
+    from fieldloom.operators.scoring import assemble_prompts
+
+    for n in range(3):
+        folder = tmp_path / f"t{n}"
+        folder.mkdir()
+        for i in range(n):
+            write(folder / f"{i}.txt", f" T{i} ")
+        texts = spark.createDataFrame([("c",)], "content string")
+        given = spark.createDataFrame([(f"T{i}",) for i in range(n)], "template string")
+        if n == 1:
+            assert R.read_template(spark, str(folder)).first().template == "T0"
+            assert assemble_prompts(texts, given, separator="|").first().prompt == "T0|c"
+            continue
+        with pytest.raises(Exception):
+            R.read_template(spark, str(folder))
+        with pytest.raises(Exception):
+            assemble_prompts(texts, given).collect()
