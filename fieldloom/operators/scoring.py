@@ -48,28 +48,42 @@ def _attempt(score: Scorer, system: str, prompt: str, attempts: int, wait, sleep
 
 
 def score(
-    prompts: DataFrame,
+    items: DataFrame,
     open_scorer: Callable[[], Scorer],
     keys: list[str],
+    template: DataFrame | None = None,
+    text: str = "content",
+    separator: str = C.PROMPT_SEPARATOR,
     prompt: str = "prompt",
     system_message: str = SYSTEM_MESSAGE,
-    parallelism: int | None = None,
+    prompts_per_task: int | None = None,
     attempts: int = 3,
     wait_factor: float = 2.0,
     wait_range: tuple[float, float] = (1.0, 60.0),
 ) -> DataFrame:
     """Run the caller's function on every prompt.
 
-    ``open_scorer`` is called once per partition, so connections are opened there; the function
-    it returns takes the system and the human message and gives the reply, or the reply and a
-    usage record. A failing row is tried again with growing pauses and then keeps its error.
-    ``parallelism`` bounds the number of concurrent callers. Write the result before using it:
-    reading it twice would call twice.
+    Prompts are the ``prompt`` column, or with ``template`` (a one-row table) the template, the
+    separator and the ``text`` column, put together where the function is called so that the
+    template does not travel with every row. ``open_scorer`` is called once per partition, so
+    connections are opened there; the function it returns takes the system and the human message
+    and gives the reply, or the reply and a usage record. A failing row is tried again with
+    growing pauses and then keeps its error. ``prompts_per_task`` deals the rows over partitions
+    of about that size; a lost task repeats its own calls only, and the cluster's task slots bound
+    how many callers run at once. Write the result before using it: reading it twice would call
+    twice.
     """
-    columns = [*keys, "raw_response", "usage", "attempts", "error"]
-    fields = [prompts.schema[k] for k in keys]
+    columns = [*keys, "prompt_length", "raw_response", "usage", "attempts", "error"]
+    fields = [items.schema[k] for k in keys]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     low, high = wait_range
+    begin = None
+    if template is not None:
+        found = template.select("template").head(2)
+        if len(found) != 1:
+            raise ValueError("exactly one template is needed")
+        begin = found[0].template + separator
+    source = prompt if begin is None else text
 
     def wait(attempt: int) -> float:
         return min(high, max(low, wait_factor * 2 ** (attempt - 1)))
@@ -77,17 +91,19 @@ def score(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = open_scorer()
         for batch in batches:
+            prompts = [p if begin is None or p is None else begin + p for p in batch[source]]
             replies = [
-                _attempt(scorer, system_message, p, attempts, wait, time.sleep)
-                for p in batch[prompt]
+                (None if p is None else len(p), *_attempt(scorer, system_message, p, attempts, wait, time.sleep))
+                for p in prompts
             ]
             scored = pd.DataFrame(replies, columns=columns[len(keys):], dtype=object)
             yield pd.concat([batch[keys].reset_index(drop=True), scored], axis=1)
 
-    spread = prompts.select(*keys, prompt)
-    if parallelism is not None:
-        spread = spread.repartition(parallelism)
+    spread = items.select(*keys, source)
+    if prompts_per_task is not None:
+        spread = spread.repartition(max(1, -(-spread.count() // prompts_per_task)))
     scored = spread.mapInPandas(
-        run, f"{schema}, raw_response string, usage string, attempts int, error string"
+        run,
+        f"{schema}, prompt_length int, raw_response string, usage string, attempts int, error string",
     )
     return scored.withColumn("raw_response", X.strip(F.col("raw_response")))

@@ -30,6 +30,10 @@ REPLIES = (
     " attempts int, error string, response_length int, written timestamp,"
     " rung string, parsed_response variant, usable boolean"
 )
+CALLS = (
+    "url_key string, model string, prompt_length int, raw_response string, usage string,"
+    " attempts int, error string, response_length int, written timestamp"
+)
 RESULTS = (
     "url_key string, url string, timestamp double, content_length int, data variant,"
     " error string, usable boolean, written timestamp"
@@ -44,7 +48,10 @@ class Settings:
     force: bool = False
     content_limit: int = C.MAX_CONTENT_LENGTH
     repair_json: bool = False
-    parallelism: int | None = None
+    # Prompts of one partition of the scoring job; free task slots bound the concurrent callers.
+    prompts_per_task: int = 200
+    # Calls are committed in this many parts, so a run that is cut short loses one part at most.
+    call_parts: int = 8
     attempts: int = 3
     wait_factor: float = 2.0
     wait_range: tuple[float, float] = (1.0, 60.0)
@@ -83,34 +90,56 @@ def _texts(spark, work: DataFrame, pages: DataFrame, base: str, run_id: str, s:
     return fresh.select(*columns).unionByName(kept.select(*columns))
 
 
+def _leftover_calls(spark, open_items: DataFrame, base: str, run_id: str, s: Settings) -> DataFrame:
+    """Answered calls that a lost run committed but did not parse, the last one of each item."""
+    calls = W.earlier_runs(spark, f"{base}/calls", CALLS, run_id).filter("raw_response is not null")
+    parsed = W.earlier_runs(spark, f"{base}/replies", REPLIES, run_id).select("url_key", "run_id")
+    left = calls.join(parsed, ["url_key", "run_id"], "left_anti")
+    left = left.join(open_items.select("url_key"), "url_key", "left_semi").drop("run_id")
+    return left.limit(0) if s.force else latest(left, ["url_key"], "written")
+
+
+def _call(spark, items: DataFrame, template, open_scorer, base: str, run_id: str, s: Settings) -> DataFrame:
+    """Call the caller's function for ``items`` and commit the calls part by part."""
+    path = f"{base}/calls"
+    for part in range(s.call_parts):
+        own = items.filter(F.pmod(F.xxhash64("url_key"), F.lit(s.call_parts)) == part)
+        scored = scoring.score(
+            own,
+            open_scorer,
+            ["url_key"],
+            template=template,
+            separator=s.separator,
+            system_message=s.system_message,
+            prompts_per_task=s.prompts_per_task,
+            attempts=s.attempts,
+            wait_factor=s.wait_factor,
+            wait_range=s.wait_range,
+        )
+        calls = scored.select(
+            "url_key",
+            F.lit(s.model).alias("model"),
+            "prompt_length",
+            "raw_response",
+            "usage",
+            "attempts",
+            "error",
+            F.length("raw_response").alias("response_length"),
+            F.current_timestamp().alias("written"),
+        )
+        W.append_part(calls, path, run_id, part)
+    return spark.read.schema(CALLS).parquet(f"{path}/run_id={run_id}").drop("part")
+
+
 def _replies(spark, texts, template, open_scorer, base: str, run_id: str, s: Settings):
-    """``url_key, parsed_response, error``: the stored reply when it holds data, else from the
-    caller's function. Calls are written before they are parsed, so no call is made twice."""
+    """``url_key, parsed_response, error``: the stored reply when it holds data, else the stored
+    call of a lost run, else from the caller's function. Calls are committed in parts before they
+    are parsed, so no committed call is made twice."""
     stored = _stored(spark, f"{base}/replies", REPLIES, run_id, s)
-    open_items = remaining(texts, stored, ["url_key"])
-    prompts = scoring.assemble_prompts(open_items, template, separator=s.separator)
-    scored = scoring.score(
-        prompts.withColumn("prompt_length", F.length("prompt")),
-        open_scorer,
-        ["url_key", "prompt_length"],
-        system_message=s.system_message,
-        parallelism=s.parallelism,
-        attempts=s.attempts,
-        wait_factor=s.wait_factor,
-        wait_range=s.wait_range,
-    )
-    calls = scored.select(
-        "url_key",
-        F.lit(s.model).alias("model"),
-        "prompt_length",
-        "raw_response",
-        "usage",
-        "attempts",
-        "error",
-        F.length("raw_response").alias("response_length"),
-        F.current_timestamp().alias("written"),
-    )
-    called = W.append_run(calls, f"{base}/calls", run_id)
+    open_items = W.append_run(remaining(texts, stored, ["url_key"]), f"{base}/open", run_id)
+    left = _leftover_calls(spark, open_items, base, run_id, s)
+    called = _call(spark, remaining(open_items, left, ["url_key"]), template, open_scorer, base, run_id, s)
+    called = called.unionByName(left)
     parsed = W.append_run(
         parse_replies(called, repair=s.repair_json)
         .withColumn("usable", F.col("reply_json").isNotNull())

@@ -34,7 +34,7 @@ def earlier_runs(spark: SparkSession, path: str, schema: str, run_id: str) -> Da
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         rows = spark.createDataFrame([], expected)
-    return rows.filter(F.col("run_id") != run_id)
+    return rows.select(*expected.fieldNames()).filter(F.col("run_id") != run_id)
 
 
 def write_csv(df: DataFrame, path: str, by: str | None = None, mode: str = "overwrite") -> None:

@@ -172,6 +172,45 @@ def test_run_resumes_from_stage_tables(spark, site, tmp_path):
     assert calls.count() == 1
 
 
+def test_leftover_calls_are_not_made_again(spark, site, tmp_path):
+    calls = Calls(str(tmp_path / "calls"))
+    urls = site | {"url_list": write(tmp_path / "ok.txt", "http://a\nhttp://c")}
+    quick = Settings(attempts=1)
+    run(spark, open_scorer=calls.opener(), settings=quick, run_id="r1", **urls)
+    assert calls.count() == 2
+    left = urls | {"base": str(tmp_path / "left")}
+    for stage in ("texts", "calls"):
+        os.makedirs(f"{left['base']}/{stage}")
+        os.rename(f"{urls['base']}/{stage}/run_id=r1", f"{left['base']}/{stage}/run_id=r1")
+    report = run(spark, open_scorer=calls.opener(), settings=quick, run_id="r2", **left).first()
+    assert (report.successful, calls.count()) == (1, 2)
+
+
+def test_a_run_that_fails_midway_keeps_its_calls(spark, site, tmp_path):
+    calls = Calls(str(tmp_path / "calls"))
+    body = "text " * 30
+    many = [(i, f"http://p/{i}", f"<article>{body} w{i:03d}</article>") for i in range(12)]
+    given = site | {
+        "url_list": write(tmp_path / "many.txt", "\n".join(u for _, u, _ in many)),
+        "pages": spark.createDataFrame(many, "page_id long, url string, html string"),
+    }
+    made, opener = calls.path, calls.opener()
+
+    def failing():
+        if os.path.exists(made) and os.path.getsize(made) >= 4:
+            raise RuntimeError("lost")
+        return opener()
+
+    settings = Settings(attempts=1, call_parts=4, prompts_per_task=3)
+    with pytest.raises(Exception, match="lost"):
+        run(spark, open_scorer=failing, settings=settings, run_id="r1", **given)
+    stored = spark.read.schema("url_key string").parquet(f"{given['base']}/calls/run_id=r1").count()
+    before = calls.count()
+    assert 0 < stored <= before < 12
+    report = run(spark, open_scorer=opener, settings=settings, run_id="r2", **given).first()
+    assert report.successful == 12 and calls.count() == before + 12 - stored
+
+
 def test_score_keeps_rows_and_errors(spark):
     prompts = spark.range(40).select("id", F.col("id").cast("string").alias("prompt"))
 
@@ -187,7 +226,7 @@ def test_score_keeps_rows_and_errors(spark):
         return score
 
     scored = scoring.score(
-        prompts, open_scorer, ["id"], system_message="s", parallelism=3, wait_factor=0,
+        prompts, open_scorer, ["id"], system_message="s", prompts_per_task=1, wait_factor=0,
         wait_range=(0, 0),
     ).collect()
     assert len(scored) == 40
