@@ -9,16 +9,26 @@ from fieldloom.functions import json as J
 from fieldloom.functions import text as X
 
 
-def parse_replies(replies: DataFrame, raw: str = "raw_response", repair: bool = False) -> DataFrame:
+def parse_replies(
+    replies: DataFrame, raw: str = "raw_response", repair: bool = False, depth: int | None = None
+) -> DataFrame:
     """Add ``rung``, ``reply_json`` and ``parsed_response``: how an object was found in the
     reply, its text, and the cleaned data as VARIANT; the last two are null when there is none.
+
+    Objects are cleaned to every level. The plan has as many levels as the replies need, which a
+    scan of their braces tells; name ``depth`` to do without the scan. A reply that nests deeper
+    than the plan gets the rung ``too_deep`` and no data, so it is quarantined.
     """
+    if depth is None:
+        deepest = replies.agg(F.max(J.nesting(F.col(raw)))).first()[0] or 1
+        depth = min(J.MAX_DEPTH, max(1, deepest))
     found = replies.withColumn("_found", J.read_reply(F.col(raw), repair))
+    fits = J.nesting(F.col("_found.json")) <= depth
     return found.select(
         *replies.columns,
-        F.col("_found.rung").alias("rung"),
-        F.col("_found.json").alias("reply_json"),
-        J.clean_json(F.col("_found.json")).alias("parsed_response"),
+        F.when(fits | F.col("_found.json").isNull(), F.col("_found.rung")).otherwise("too_deep").alias("rung"),
+        F.when(fits, F.col("_found.json")).alias("reply_json"),
+        F.when(fits, J.clean_json(F.col("_found.json"), depth)).alias("parsed_response"),
     )
 
 

@@ -1,10 +1,12 @@
 import json
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fieldloom.functions import json as J
+from fieldloom.operators.replies import parse_replies
 
 
 def apply(spark, values, function):
@@ -131,3 +133,20 @@ def counted_slice(text):
 @given(st.lists(st.text(alphabet='{}a"é ', max_size=30), min_size=20, max_size=40))
 def test_balanced_slice_matches_counting(spark, texts):
     assert apply(spark, texts, J.balanced_slice) == [counted_slice(t) for t in texts]
+
+
+@pytest.mark.parametrize("levels", [1, 11, 16, 40])
+def test_replies_are_cleaned_to_every_level(spark, levels):
+    text, expected = '{"Leaf Key": "N/A", "Is-It": "yes"}', {"leaf_key": None, "is_it": True}
+    for level in range(levels - 1):
+        text, expected = f'{{"K {level}": {text}, "n": 1}}', {f"k_{level}": expected, "n": 1}
+    replies = spark.createDataFrame([(1, f"Sure: {text}"), (2, "none"), (3, '{"A B": "x"}')], "id int, raw_response string")
+    rows = {r.id: r for r in parse_replies(replies).withColumn("js", F.to_json("parsed_response")).collect()}
+    if levels > J.MAX_DEPTH:
+        assert (rows[1].rung, rows[1].reply_json, rows[1].js) == ("too_deep", None, None)
+    else:
+        assert json.loads(rows[1].js) == expected
+    assert rows[2].js is None and json.loads(rows[3].js) == {"a_b": "x"}
+    if levels > 1:
+        shallow = {r.id: r.rung for r in parse_replies(replies, depth=1).collect()}
+        assert (shallow[1], shallow[3]) == ("too_deep", "whole")
