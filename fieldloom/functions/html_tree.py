@@ -6,6 +6,7 @@ Spark spreads the pages; this only reads one page at a time inside an Arrow UDF.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 # Element classes of HTML.
@@ -55,6 +56,7 @@ class _TreeBuilder(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.dropped = dropped
         self.root = self.open = Element("", {}, None)
+        self.counts = Counter()  # open elements by tag
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK_TAGS and tag not in INLINE_IN_PARAGRAPH:
@@ -66,6 +68,7 @@ class _TreeBuilder(HTMLParser):
             self.open.children.append(element)
         if tag not in VOID_TAGS:
             self.open = element
+            self.counts[tag] += 1
 
     def handle_endtag(self, tag):
         self._close((tag,), within=None)
@@ -77,15 +80,22 @@ class _TreeBuilder(HTMLParser):
         self.open.children.append(Comment(data))
 
     def _close(self, tags, within):
+        if not any(self.counts[tag] for tag in tags):  # no walk for an end tag that ends nothing
+            return
         element = self.open
         while element.parent is not None:
             if element.tag in tags:
-                self.open = element.parent
+                self._leave(element)
                 return
             if within and element.tag in within:
                 return
             element = element.parent
 
+    def _leave(self, element):
+        while self.open is not element.parent:
+            self.counts[self.open.tag] -= 1
+            self.open = self.open.parent
+
 
 def parse(html: str, dropped=()) -> Element:
     """Element tree of a page without the dropped subtrees."""

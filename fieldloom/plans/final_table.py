@@ -11,7 +11,7 @@ from fieldloom import constants as C
 from fieldloom.functions import text as X
 from fieldloom.operators.flatten import flatten_results
 from fieldloom.operators.profile import profile_fields
-from fieldloom.operators.schema import WideColumn, collect_columns, derive_schema
+from fieldloom.operators.schema import MAX_COLUMNS, WideColumn, collect_columns, derive_schema
 from fieldloom.operators.unify import unify, unify_objects
 from fieldloom.session import configure, cut_lineage
 from fieldloom.sources import readers as R
@@ -35,13 +35,17 @@ def build_final_table(
     threshold: float = C.MIN_FIELD_FREQUENCY,
     misc_limit: int = C.MAX_MISC_ITEMS,
     strict_compat: bool = False,
+    max_columns: int = MAX_COLUMNS,
 ) -> FinalTable:
-    """Flatten, profile, derive the schema and project results (``url_id, url, data``, order)."""
+    """Flatten, profile, derive the schema and project results (``url_id, url, data``, order).
+
+    More than ``max_columns`` standard fields are an error; the results themselves stay as written.
+    """
     configure(results.sparkSession)
     records = flatten_results(results).select(order, "fields")
     profile = cut_lineage(profile_fields(records, order))
     schema = derive_schema(profile, threshold, strict_compat)
-    columns = collect_columns(schema)
+    columns = collect_columns(schema, max_columns)
     table = unify(records, columns, misc_limit=misc_limit)
     return FinalTable(records, profile, schema, columns, table)
 
