@@ -1,7 +1,9 @@
+import os
 import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 from tokenizers import Tokenizer
 
 import __spark_entry__
@@ -73,3 +75,34 @@ def test_registered(spark):
     assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
     assert set(QUERIES) <= set(names) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
+
+
+CONTRACT = {
+    "op1": "doc_id held_out score predicted",
+    "op2": "doc_id keep_id group_size kept text_sha256",
+    "op3": "page_id url text n_chars",
+    "op4": "doc_id n_shingles component_id",
+    "op5": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op6": "doc_id size text_crc32 law shard slot grown_shard",
+    "op7": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next",
+    "op8": "doc_id piece start length ids_crc32 sequence_id offset",
+    "op9": "doc_id license share first_word last_word",
+    "op10": "doc_id n_words n_removed kept_sha256",
+}
+FOLDER = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.exists(FOLDER), reason="no test tables here")
+@pytest.mark.parametrize("name", list(QUERIES))
+def test_query_gives_every_row(spark, name):
+    found = QUERIES[name](spark, FOLDER)
+    op = name.split("_")[0]
+    assert found.columns == CONTRACT[op].split()
+    key = found.columns[0]
+    given = spark.read.parquet(f"{FOLDER}/{'pages' if op == 'op3' else 'documents'}.parquet")
+    ids = [r[0] for r in found.select(key).collect()]
+    if op == "op9":
+        assert set(ids) <= {r[0] for r in given.select(key).collect()}
+    else:
+        assert set(ids) == {r[0] for r in given.select(key).collect()}
+        assert op == "op8" or len(ids) == given.count()
