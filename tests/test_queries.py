@@ -32,7 +32,7 @@ def normalized(rows, columns):
     return sorted((tuple(value(row[i]) for i in order) for row in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(entry.oracle_sql()))
 def test_query_equals_sql(spark, database, name):
     found = entry.queries()[name](spark, FOLDER)
     cursor = database.execute(entry.oracle_sql()[name])
