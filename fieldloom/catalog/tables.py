@@ -23,6 +23,8 @@ def flagship_field_profile(spark: SparkSession, folder: str) -> DataFrame:
 
 
 LINEITEM_FIELDS = {
+    "l_orderkey": "int",
+    "l_linenumber": "int",
     "l_partkey": "int",
     "l_suppkey": "int",
     "l_quantity": "float",
@@ -31,10 +33,11 @@ LINEITEM_FIELDS = {
     "l_tax": "float",
     "l_returnflag": "str",
     "l_linestatus": "str",
+    "l_shipdate": "str",
 }
 LINEITEM_SQL = " union all ".join(
     f"select l_orderkey * 8 + l_linenumber as pos, '{name}' as field, '{kind}' as type,"
-    f" cast({name} as varchar) as v from lineitem"
+    f" {'left(' * (name == 'l_shipdate')}cast({name} as varchar){', 10)' * (name == 'l_shipdate')} as v from lineitem"
     for name, kind in LINEITEM_FIELDS.items()
 )
 
@@ -44,7 +47,8 @@ LINEITEM_SQL = " union all ".join(
     f" {I.PROFILE_SQL} {I.PROFILE_SELECT_SQL}"
 )
 def lineitem_profile(spark: SparkSession, folder: str) -> DataFrame:
-    text = F.to_json(F.struct(*LINEITEM_FIELDS))
+    day = F.date_format("l_shipdate", "yyyy-MM-dd").alias("l_shipdate")
+    text = F.to_json(F.struct(*[day if name == "l_shipdate" else name for name in LINEITEM_FIELDS]))
     records = I.table(spark, folder, "lineitem").select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("pos"),
         J.object_map(F.try_parse_json(text)).alias("fields"),

@@ -13,7 +13,7 @@ from fieldloom import constants as C
 from fieldloom.functions import text as X
 from fieldloom.operators import content as content_ops
 from fieldloom.operators import reports, scoring
-from fieldloom.operators.incremental import latest, remaining, reusable
+from fieldloom.operators.incremental import first_per_key, latest, remaining, reusable
 from fieldloom.operators.outcomes import result_records
 from fieldloom.operators.replies import parse_replies
 from fieldloom.plans.final_table import save_final_table
@@ -21,6 +21,9 @@ from fieldloom.session import configure
 from fieldloom.sources import readers as R
 from fieldloom.sources import writers as W
 
+# Largest list of URLs that is broadcast.
+BROADCAST_BYTES = 32 * 1024 * 1024
+
 TEXTS = (
     "url_key string, url string, strategy string, content string, usable boolean,"
     " written timestamp"
@@ -67,16 +70,26 @@ def _stored(spark: SparkSession, path: str, schema: str, run_id: str, s: Setting
 
 
 def _texts(spark, work: DataFrame, pages: DataFrame, base: str, run_id: str, s: Settings):
-    """``url_key, content``: the stored text when it is long enough, else from the page.
+    """``url_key, content``: the stored text when it is long enough, else from the first page of
+    the URL.
 
-    The first page of a URL is found on narrow columns; only its HTML is moved.
+    Text is extracted where a page is read, and the first page of a URL is found on the bounded
+    texts, so no HTML is shuffled. A list of missing URLs that is small by its measured size is
+    broadcast to pass over finished pages; a larger one is joined to the texts.
     """
     stored = _stored(spark, f"{base}/texts", TEXTS, run_id, s)
     missing = remaining(work, stored, ["url_key"]).select("url")
-    first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    wanted = first.join(missing, "url", "left_semi")
-    chosen = pages.select("url", "page_id", "html").join(wanted, ["url", "page_id"], "left_semi")
-    made = content_ops.extract_content(chosen, s.content_limit).select(
+    size = missing.agg(F.sum(F.octet_length("url") + 16)).first()[0] or 0
+    small = size <= BROADCAST_BYTES
+    order = F.col("page_id") if "page_id" in pages.columns else F.lit(None).cast("long")
+    narrow = pages.select("url", order.alias("page_id"), "html")
+    if small:
+        narrow = narrow.join(F.broadcast(missing), "url", "left_semi")
+    texts = content_ops.extract_content(narrow, s.content_limit)
+    first = first_per_key(texts, ["url"], F.asc_nulls_last("page_id"), F.xxhash64("content"))
+    if not small:
+        first = first.join(missing, "url", "left_semi")
+    made = first.select(
         X.url_key(F.col("url")).alias("url_key"),
         "url",
         "strategy",

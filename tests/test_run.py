@@ -186,6 +186,21 @@ def test_leftover_calls_are_not_made_again(spark, site, tmp_path):
     assert (report.successful, calls.count()) == (1, 2)
 
 
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_texts_shuffle_no_html(spark, site, tmp_path, limit, monkeypatch):
+    from fieldloom.plans import run as plan
+
+    monkeypatch.setattr(plan, "BROADCAST_BYTES", limit)
+    seen, keep = [], W.append_run
+    monkeypatch.setattr(W, "append_run", lambda rows, path, run_id: (seen.append((path, rows)), keep(rows, path, run_id))[1])
+    work = spark.createDataFrame([("http://a", "ka"), ("http://d", "kd")], "url string, url_key string")
+    texts = plan._texts(spark, work, site["pages"], str(tmp_path / "t"), "r", Settings()).collect()
+    assert len(texts) == 1 and texts[0].content.endswith("aaaa")
+    shown = seen[0][1]._jdf.queryExecution().optimizedPlan().toString()
+    ranked = shown.index("Window")
+    assert "html" in shown and "html" not in shown[:ranked]
+
+
 def test_a_run_that_fails_midway_keeps_its_calls(spark, site, tmp_path):
     calls = Calls(str(tmp_path / "calls"))
     body = "text " * 30
