@@ -91,6 +91,11 @@ class ChunkTable(dict):
 _kept: dict[object, ChunkTable] = {}
 
 
+def forget_tables() -> None:
+    """Give the memory of kept tables back; operators that have none call it as a task begins."""
+    _kept.clear()
+
+
 def kept_table(key: object, build: Callable[[], ChunkTable]) -> ChunkTable:
     """The table under ``key`` in this Python worker, which runs many tasks in turn."""
     if key not in _kept:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField
 
-from fieldloom.llm.batches import add_columns, column, steps, texts
+from fieldloom.llm.batches import add_columns, column, forget_tables, steps, texts
 from fieldloom.llm.stage import whole_text, written
 
 # Common insults in several languages, one voter of its own.
@@ -82,6 +82,7 @@ def found_terms(sample: DataFrame, limit: int = MAX_TERMS, lift: float = LEAST_L
     """Terms with the number of toxic and of other sample texts that have them, most telling first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         totals: list[Counter] = [Counter(), Counter()]
         for part in steps(batches, "_text"):
             for text, label in zip(texts(part, "_text"), column(part, "_label").to_pylist(), strict=True):
@@ -161,8 +162,9 @@ def vote_patterns(docs: DataFrame, text: str, voters: Voters) -> dict[int, int]:
 class WordVotes(dict):
     """Raw word -> bits of its lists and its terms in use, remembered within a bound."""
 
-    def __init__(self, bits: dict[str, int], limit: int = 500_000):
+    def __init__(self, bits: dict[str, int], limit: int = 200_000):
         super().__init__()
+        forget_tables()
         self.bits, self.limit = bits, limit
 
     def __missing__(self, word: str):
