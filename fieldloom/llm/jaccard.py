@@ -9,8 +9,9 @@ and those that reach up to them by scanning the inverted list of each such shing
 where the counted cost of both is least.
 
 Every list first compares its members with one of them only; members found linked are one
-component, and lists with one component are done. In the others, every pair across components is
-compared, so no link between components is lost, and a group of n copies costs n comparisons.
+component, and where all are in one the list is done. In the others, every pair across components
+that could still be linked is compared, so no link between components is lost, and a group of n
+copies costs n comparisons.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.batches import column, steps
+from fieldloom.llm.batches import column, forget_tables, steps
 from fieldloom.llm.components import components
 from fieldloom.llm.sketch import may_repeat, merged_sketch, sketch_bits
 from fieldloom.llm.stage import whole_text, written
@@ -34,6 +35,8 @@ SHINGLE = 5
 NUM, DEN = 3, 4
 # Largest size tried as the boundary between small and large sets.
 MAX_SMALL = 256
+# Text bytes whose words a task holds as arrays at a time.
+STEP_BYTES = (1 << 20) - 1
 NULL_KEY = (1 << 63) - 1
 
 
@@ -58,14 +61,15 @@ def shingle_table(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
     bits = sketch_bits(volume // 6)
 
     def values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for part in steps([batch], "_text"):
+        for part in steps([batch], "_text", STEP_BYTES):
             yield from shingle_sets(scan(column(part, "_text"), True), n)
 
     sketch = merged_sketch(docs.select("_text"), values, bits, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        for part in steps(batches, "_text"):
+        for part in steps(batches, "_text", STEP_BYTES):
             size, h1, h2, tokens, seen = [], [], [], [], set()
             with np.errstate(over="ignore"):
                 for own in shingle_sets(scan(column(part, "_text"), True), n):
@@ -159,10 +163,11 @@ def prefixes(sets: DataFrame) -> DataFrame:
 def small_boundary(firsts: DataFrame, largest: int = MAX_SMALL) -> int:
     """The size up to which joining by pairs costs least, from the counted rows of both ways.
 
-    Scanning a list costs a row and a look at each of its sets, a pair costs its row twice. Sets
-    near the boundary are in both, so that small and large sets meet.
+    A shingle costs its row in a list, a pair of shingles its own row, and either one comparison
+    with the head of its list. Sets near the boundary are in both, so that small and large sets
+    meet.
     """
-    single = F.aggregate(F.slice("first", 1, F.col("places")), F.lit(0).cast("long"), lambda s, x: s + x["n"] + 1)
+    single = 2 * F.col("places").cast("long")
     count = F.size("first").cast("long")
     table = (
         firsts.where(F.col("size") <= largest)
@@ -194,42 +199,50 @@ def postings(firsts: DataFrame, boundary: int) -> DataFrame:
     return written(by_pair.union(by_list))
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) of sets that are linked, by their whole shared content."""
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets with ``both``, the shingles they share, and whether they are ``linked``."""
     one = sets.select(F.col("set").alias("a"), F.col("size").alias("_na"), F.col("tokens").alias("_ta"))
     two = sets.select(F.col("set").alias("b"), F.col("size").alias("_nb"), F.col("tokens").alias("_tb"))
-    both = F.size(F.array_intersect("_ta", "_tb"))
-    return (
-        pairs.join(one, "a")
-        .join(two, "b")
-        .where((F.least("_na", "_nb") * DEN >= F.greatest("_na", "_nb") * NUM) & (both * (NUM + DEN) >= (F.col("_na") + F.col("_nb")) * NUM))
-        .select("a", "b")
-    )
+    met = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("_ta", "_tb")))
+    return met.select("a", "b", "both", (F.col("both") * (NUM + DEN) >= (F.col("_na") + F.col("_nb")) * NUM).alias("linked"))
 
 
 def set_links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) between sets that connect all that are linked. Written."""
+    """Links (a, b) between sets that connect all that are linked. Written.
+
+    The sets of one list were all measured against its first; sets measured against the same one
+    are a star. Two sets of a star share at most what both share with its centre and what either
+    has in common with others beside it, which rules out most pairs without looking at them.
+    """
     firsts = prefixes(sets)
     rows = postings(firsts, small_boundary(firsts))
     heads = rows.groupBy("key").agg(F.min("set").alias("b"), F.max("set").alias("_last")).where("b < _last").select("key", "b")
-    tried = written(rows.join(heads, "key").where("set <> b").select(F.col("set").alias("a"), "b").distinct())
-    links = written(linked(tried, sets))
+    tried = rows.join(heads, "key").where("set <> b").select(F.col("set").alias("a"), "b").distinct()
+    tried = written(measured(tried, sets))
+    links = tried.where("linked").select("a", "b")
 
     label = components(links)
-    placed = rows.join(label, rows.set == label.node, "left").select("key", "set", "size", F.coalesce("component", "set").alias("part"))
-    parts = placed.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("key").agg(F.max(F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    left = written(placed.join(mixed.select("key", F.col("most.part").alias("main")), "key"))
-    # Every member outside a list's main component against every member of another component.
-    outside = left.where("part <> main").select("key", F.col("set").alias("a"), F.col("size").alias("_n"), F.col("part").alias("_p"))
+    sizes = sets.select("set", "size", F.size("tokens").alias("shared"))
+    points = tried.select(F.col("b").alias("star"), F.col("a").alias("set"), "both").join(sizes, "set")
+    centres = tried.select(F.col("b").alias("set")).distinct().join(sizes, "set")
+    points = points.unionByName(centres.withColumns({"star": F.col("set"), "both": F.col("shared")}))
+    points = points.join(label, points.set == label.node, "left").select(
+        "star", "set", "size", "both", (F.col("shared") - F.col("both")).alias("beside"), F.coalesce("component", "set").alias("part")
+    )
+    parts = points.groupBy("star", "part").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("star").agg(F.max(F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    points = written(points.join(mixed.select("star", F.col("most.part").alias("main")), "star"))
+    # Every set outside a star's main component against every set of another component.
+    outside = points.where("part <> main").select("star", *[F.col(c).alias("_" + c) for c in ("set", "size", "both", "beside", "part")])
+    at_most = F.least("both", "_both") + F.least("beside", "_beside")
     across = (
-        outside.join(left, "key")
-        .where((F.col("_p") != F.col("part")) & (F.least("_n", "size") * DEN >= F.greatest("_n", "size") * NUM))
-        .select(F.greatest("a", "set").alias("a"), F.least("a", "set").alias("b"))
+        outside.join(points, "star")
+        .where((F.col("_part") != F.col("part")) & (at_most * (NUM + DEN) >= (F.col("size") + F.col("_size")) * NUM))
+        .select(F.greatest("_set", "set").alias("a"), F.least("_set", "set").alias("b"))
         .distinct()
-        .join(tried, ["a", "b"], "left_anti")
+        .join(tried.select("a", "b"), ["a", "b"], "left_anti")
     )
-    return links.union(written(linked(across, sets)))
+    return links.union(written(measured(across, sets)).where("linked").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE) -> DataFrame:
