@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
+from fieldloom.llm.batches import forget_tables
 from fieldloom.llm.stage import parallel
 from fieldloom.llm.words import mix
 
 # Values a task gathers before it sends a partial sketch.
-PART_VALUES = 2_000_000
+PART_VALUES = 500_000
 # A merged sketch has at most 2**28 cells, one bit each: 32 MB to the driver and to every executor.
 # Beyond about 2**27 values it lets more unrepeated values pass; it never loses a repeated one.
 MAX_BITS = 28
@@ -58,6 +59,7 @@ def merged_sketch(
             )
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         held, size = [], 0
         for batch in batches:
             for array in values(batch):

@@ -2,9 +2,10 @@
 
 A window of ``window`` words holds an anchor, its gram of ``gram`` words with the least hash. Equal
 windows have equal anchors at equal places inside, so a window repeats only if its anchor does, and
-sketching anchors (about one word in seven) gives an upper estimate for every window. The exact
-pass sends windows with a possibly repeated anchor, grouped by anchor, each distinct window once
-per task and step.
+sketching anchors (about one word in seven) gives a first upper estimate for every window; windows
+that pass are sketched themselves, as a common line is the anchor of many windows that differ. The
+exact pass sends windows that pass both, grouped by anchor, each distinct window once per task and
+step.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField
 
-from fieldloom.llm.batches import add_columns, column, steps
+from fieldloom.llm.batches import add_columns, column, forget_tables, steps
 from fieldloom.llm.sketch import MAX_BITS, may_repeat, merged_sketch, sketch_bits
 from fieldloom.llm.stage import parallel, whole_text
 from fieldloom.llm.words import Words, runs_of, scan
@@ -26,7 +27,9 @@ from fieldloom.llm.words import Words, runs_of, scan
 WINDOW, GRAM = 20, 8
 DEPTH = 2
 # Windows that may repeat which a task compares among themselves before it sends them.
-STEP_WINDOWS = 1_000_000
+STEP_WINDOWS = 200_000
+# Text bytes whose words a task holds as arrays at a time.
+STEP_BYTES = (1 << 20) - 1
 NULL_KEY = (1 << 63) - 1
 _ASK = "anchor long, key long, body long, at int, mask int, windows binary"
 
@@ -76,14 +79,28 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     if not 0 < gram <= window or reach > 30:
         raise ValueError("a gram must fit its window with at most 30 words beside it")
     volume = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    bits = sketch_bits(volume // 40, MAX_BITS - DEPTH + 1)
+    bits = sketch_bits(volume // 40, MAX_BITS - DEPTH)
+    window_bits = sketch_bits(volume // 20, MAX_BITS - DEPTH)
 
-    def values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for part in steps([batch], "_text"):
+    def anchor_values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for part in steps([batch], "_text", STEP_BYTES):
             _, at, grams = anchors(scan(column(part, "_text"), False), window, gram)
             yield grams[np.unique(at)]
 
-    sketch = merged_sketch(docs.select("_text"), values, bits, DEPTH)
+    sketch = merged_sketch(docs.select("_text"), anchor_values, bits, DEPTH)
+
+    def likely(words: Words) -> tuple[np.ndarray, ...]:
+        """Windows whose anchor may repeat: first word, anchor's word, anchor and window hash."""
+        starts, at, grams = anchors(words, window, gram)
+        own = may_repeat(grams[at], sketch.value, bits, DEPTH)
+        starts, at = starts[own], at[own]
+        return starts, at, grams[at], runs_of(words, window, seed=2)[0][starts]
+
+    def window_values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for part in steps([batch], "_text", STEP_BYTES):
+            yield likely(scan(column(part, "_text"), False))[3]
+
+    window_sketch = merged_sketch(docs.select("_text"), window_values, window_bits, DEPTH)
 
     def questions(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         whole, anchor, key, body, at, j = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -103,20 +120,21 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
             offsets = 8 * np.append(head, len(rows)) if asks else np.zeros(len(head) + 1, np.int64)
             data = whole[rows].tobytes() if asks else b""
             first = rows[head]
-            yield _rows(anchor[first], key[first], body[first], at[first], mask, offsets, data)
+            # Findings only pass through, so they are dealt by their text, not by a common anchor.
+            yield _rows(anchor[first] if asks else body[first], key[first], body[first], at[first], mask, offsets, data)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
         held, size = [], 0
-        for part in steps(batches, "_text"):
+        for part in steps(batches, "_text", STEP_BYTES):
             words = scan(column(part, "_text"), False)
-            starts, at, grams = anchors(words, window, gram)
-            own = may_repeat(grams[at], sketch.value, bits, DEPTH)
-            starts, at = starts[own], at[own]
+            starts, at, anchor, whole = likely(words)
+            own = may_repeat(whole, window_sketch.value, window_bits, DEPTH)
+            starts, at, anchor, whole = starts[own], at[own], anchor[own], whole[own]
             if len(starts):
-                whole, _ = runs_of(words, window, seed=2)
                 text = np.searchsorted(words.first, starts, "right") - 1
                 key, body = (column(part, c).to_numpy(zero_copy_only=False)[text] for c in ("_key", "_body"))
-                held.append((whole[starts], grams[at], key, body, at - words.first[text], starts - at + reach))
+                held.append((whole, anchor, key, body, at - words.first[text], starts - at + reach))
                 size += len(starts)
             if size >= STEP_WINDOWS:
                 yield from questions(held)
@@ -197,6 +215,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     reach = window - gram
 
     def work():
+        forget_tables()
+
         def act(part: pa.RecordBatch) -> list[pa.Array]:
             words = scan(column(part, text), False)
             lists, masks = column(part, "_at"), column(part, "_mask")
