@@ -127,6 +127,11 @@ def parse(page: str) -> Node:
             opened[tag] += 1
 
 
+def name_words(node: Node) -> list[str]:
+    """Words in the class names and the id of an element."""
+    return _name_words(node.attrs.get("class", "") + " " + node.attrs.get("id", "")) if node.attrs else []
+
+
 def is_other(node: Node, in_article: bool) -> bool:
     """Whether an element is no part of an article by its tag, role, names or being hidden."""
     if node.tag in OTHER_TAGS and not (in_article and node.tag == "header"):
@@ -138,7 +143,7 @@ def is_other(node: Node, in_article: bool) -> bool:
         return True
     if "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
-    names = _name_words(attrs.get("class", "") + " " + attrs.get("id", ""))
+    names = name_words(node)
     return bool(names) and node.tag not in ("article", "main") and any(n.lower() in OTHER_NAMES for n in names) or (
         node.tag == "article" and any(n.lower() in ("comment", "reply", "ad", "sponsored", "related") for n in names)
     )

@@ -1,8 +1,8 @@
 """Article text of pages by wrappers induced from pages of one host.
 
 Some pages of a host are aligned by simple tree matching. Nodes that are there with one text in
-nearly all of them are template; the others are slots. The wrapper of a host names the path that
-holds the varying text, and the template texts inside it. Every page is then read by its host's
+nearly all of them are template; the others are slots. The wrapper of a host names the inmost path
+that holds all of the varying text (labels and menus apart), and the template texts inside it. Every page is then read by its host's
 wrapper; what names itself navigation, advert and the like is left out beforehand.
 """
 
@@ -27,8 +27,13 @@ ALIGNED_PAGES = 8
 # Aligned pages that make a text template, as a share and as a number.
 TEMPLATE_SHARE = 0.8
 LEAST_PAGES = 4
-# A child that holds this share of a node's varying text is the place to look further.
-MAIN_SHARE = 0.7
+# Elements whose text is an article's wherever it is, and words in names that say so of others.
+PROSE = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre figcaption caption".split())
+PROSE_NAMES = frozenset("title subtitle headline heading lead lede intro summary abstract standfirst caption".split())
+# Elements whose text counts outside links.
+ITEMS = frozenset("li dd dt td th".split())
+# Longer texts are more than a label.
+LABEL_CHARS = 40
 
 
 def host(url: Column) -> Column:
@@ -102,6 +107,37 @@ def different(trees: list[dom.Node], limit: int) -> list[dom.Node]:
     return out
 
 
+def told(node: dom.Node, path: str, fixed: frozenset[str], sizes: Counter[str], prose: bool = False, weak: bool = False) -> int:
+    """Characters of text an article may have in a tree, added to ``sizes`` for every path in it.
+
+    Text in headings, paragraphs and what is named like them counts, and in list items and cells
+    outside links; elsewhere (labels, menus) only text of more than ``LABEL_CHARS``. Texts in
+    ``fixed`` do not count.
+    """
+    named = node.tag not in ("html", "body") and any(n.lower() in PROSE_NAMES for n in dom.name_words(node))
+    prose = prose or node.tag in PROSE or named
+    weak = (weak or node.tag in ITEMS) and node.tag != "a"
+    text = own_text(node)
+    size = 0
+    if text and (prose or weak or len(text) > LABEL_CHARS) and f"{path}|{text}" not in fixed:
+        size = len("".join(text.split()))
+    for child in node.elements():
+        size += told(child, f"{path}/{child.label}", fixed, sizes, prose, weak)
+    sizes[path] += size
+    return size
+
+
+def inmost(path: str, nodes: dict[str, list[dom.Node]], sizes: Counter[str]) -> str:
+    """Down from a path as long as one block child has all that ``sizes`` counts; stops at an article."""
+    while nodes[path][0].tag not in ("article", "main"):
+        inside = {f"{path}/{c.label}" for n in nodes[path] for c in n.elements() if c.tag in dom.BLOCK and c.tag != "p" and c.elements()}
+        best = max(inside, key=lambda x: (sizes[x], x), default=None)
+        if best is None or not sizes[best] or sizes[best] < sizes[path]:
+            break
+        path = best
+    return path
+
+
 def induce(pages: list[str]) -> tuple[str, list[str]]:
     """Path of the article and template texts (``path|text``) of pages of one kind; empty if unknown."""
     trees = different([squeezed(dom.pruned(dom.parse(p))) for p in pages], ALIGNED_PAGES)
@@ -109,47 +145,37 @@ def induce(pages: list[str]) -> tuple[str, list[str]]:
         return "", []
     reference = trees[0]
     paths = {id(node): path for path, node in dom.walk(reference)}
-    met: Counter[str] = Counter()
     said: dict[str, Counter[str]] = defaultdict(Counter)
-    mass: Counter[str] = Counter()
     for tree in trees:
         for one, other in tree_match(reference, tree)[1]:
-            path = paths[id(one)]
-            met[path] += 1
-            mass[path] += dom.text_size(other)
-            said[path][own_text(other)] += 1
+            said[paths[id(one)]][own_text(other)] += 1
     fixed = []
     enough = max(LEAST_PAGES, TEMPLATE_SHARE * len(trees))
     for path, texts_ in said.items():
         text, times = texts_.most_common(1)[0]
         if text and times >= enough:
             fixed.append(f"{path}|{text}")
-            mass[path] -= len("".join(text.split())) * times
-    node, path = reference, f"/{reference.label}"
-    while node.tag not in ("article", "main"):
-        ahead = Counter()
-        for child in node.elements():
-            if child.tag in dom.BLOCK and child.tag != "p":
-                ahead[f"{path}/{child.label}"] = max(ahead[f"{path}/{child.label}"], mass[f"{path}/{child.label}"])
-        if not ahead:
-            break
-        best, size = ahead.most_common(1)[0]
-        inner = next(c for c in node.elements() if f"{path}/{c.label}" == best)
-        if size < MAIN_SHARE * max(1, mass[path]) or met[best] * 2 < len(trees) or not inner.elements():
-            break
-        node, path = inner, best
-    return (path if node.tag not in ("#root", "html", "body") else ""), fixed
+    nodes: dict[str, list[dom.Node]] = defaultdict(list)
+    sizes: Counter[str] = Counter()
+    for tree in trees:
+        for path, node in dom.walk(tree):
+            nodes[path].append(node)
+        told(tree, f"/{tree.label}", frozenset(fixed), sizes)
+    path = inmost(f"/{reference.label}", nodes, sizes)
+    whole = nodes[path][0].tag in ("#root", "html", "body")
+    # Of too few pages nothing is known as template, so all of a page says nothing.
+    return ("" if whole and len(trees) < LEAST_PAGES else path), fixed
 
 
 def article(page: str, main: str, fixed: frozenset[str]) -> str:
     """Article text of a page by its host's wrapper; without one, or where the page has no such
-    path, the largest article or main element, else the largest part of the body."""
+    path, its article and main elements, else the part of the body with all its text."""
     tree = dom.pruned(dom.parse(page))
     every = list(dom.walk(tree))
     found = [(path, node) for path, node in every if main and path == main]
     if not any(dom.text_size(node) for _, node in found):
-        named = [(path, node) for path, node in every if node.tag == "article"] or [(p, n) for p, n in every if n.tag == "main"]
-        found = [max(named, key=lambda x: dom.text_size(x[1]))] if named else [_largest(every[0])]
+        named = [(p, n) for p, n in _outermost(tree, f"/{tree.label}") if dom.text_size(n)]
+        found = [_inmost_node(p, n) if n.tag == "main" else (p, n) for p, n in named] or [_inmost_node(*every[0])]
     out: list[str] = []
     for path, node in found:
         if fixed:
@@ -158,15 +184,23 @@ def article(page: str, main: str, fixed: frozenset[str]) -> str:
     return "\n".join(out)
 
 
-def _largest(start: tuple[str, dom.Node]) -> tuple[str, dom.Node]:
-    """Down from a node as long as one block child holds most of the text."""
-    path, node = start
-    while True:
-        inside = [c for c in node.elements() if c.tag in dom.BLOCK and c.tag != "p" and c.elements()]
-        best = max(inside, key=dom.text_size, default=None)
-        if best is None or dom.text_size(best) < MAIN_SHARE * max(1, dom.text_size(node)):
-            return path, node
-        path, node = f"{path}/{best.label}", best
+def _outermost(node: dom.Node, path: str) -> list[tuple[str, dom.Node]]:
+    """Article and main elements that are in no other one, with their paths."""
+    if node.tag in ("article", "main"):
+        return [(path, node)]
+    return [found for c in node.elements() for found in _outermost(c, f"{path}/{c.label}")]
+
+
+def _inmost_node(path: str, node: dom.Node) -> tuple[str, dom.Node]:
+    """Down from a node as long as one block child has all its text that counts; stops at an article."""
+    while node.tag != "article":
+        sizes = [(told(c, "", frozenset(), Counter(), False, node.tag in ITEMS), c) for c in node.elements()]
+        all_ = told(node, "", frozenset(), Counter())
+        best = [c for size, c in sizes if size and size == all_ and c.tag in dom.BLOCK and c.tag != "p" and c.elements()]
+        if not best:
+            break
+        path, node = f"{path}/{best[0].label}", best[0]
+    return path, node
 
 
 def _drop_fixed(node: dom.Node, path: str, fixed: frozenset[str]) -> None:

@@ -122,6 +122,29 @@ def test_wrapper_of_a_host(spark):
     assert wrappers.extract_articles(df.limit(0)).count() == 0
 
 
+def post(i, rng):
+    def run(k):
+        return " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(10**5)}" for _ in range(k))
+
+    title, lead, *rest = run(5), run(30), run(80), run(90)
+    body = "".join(f"<p>{x}</p>" for x in rest)
+    page = f"<html><body><div class='post'><h1>{title}</h1><p>{lead}</p><div class='text'>{body}</div></div><div class='end'>Terms</div></body></html>"
+    return page, "\n".join([title, lead, *rest])
+
+
+def test_text_beside_the_largest_part_stays(spark):
+    rng = random.Random(4)
+    made = [post(i, rng) for i in range(10)]
+    df = spark.createDataFrame([(i, f"http://a.example/{i}", p) for i, (p, _) in enumerate(made)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract_articles(df).collect()}
+    assert [got[i] for i in range(10)] == [text for _, text in made]
+    page, text = made[0]
+    assert wrappers.article(page, "", frozenset()) == text
+    parts = "<body><article><p>One</p><article><p>In</p></article></article><article><p>Two and more</p></article></body>"
+    assert wrappers.article(parts, "", frozenset()) == "One\nIn\nTwo and more"
+    assert wrappers.article("<main><h1>T</h1><article><p>One</p></article></main>", "", frozenset()) == "T\nOne"
+
+
 def test_licenses_equal_a_loop(make_docs):
     rng = random.Random(3)
 
