@@ -27,6 +27,8 @@ ALIGNED_PAGES = 8
 # Aligned pages that make a text template, as a share and as a number.
 TEMPLATE_SHARE = 0.8
 LEAST_PAGES = 4
+# Pages that have more than this share of their text in common are copies of one article.
+SHARED = 0.5
 # Elements whose text is an article's wherever it is, and words in names that say so of others.
 PROSE = frozenset("h1 h2 h3 h4 h5 h6 hgroup p blockquote pre figcaption caption".split())
 PROSE_NAMES = frozenset("title subtitle headline heading lead lede intro summary abstract standfirst caption".split())
@@ -95,11 +97,15 @@ def own_text(node: dom.Node) -> str:
 
 
 def different(trees: list[dom.Node], limit: int) -> list[dom.Node]:
-    """Trees whose blocks are mostly their own: copies of an article say nothing about templates."""
+    """Trees whose text is mostly their own: copies of an article say nothing about templates."""
     out, seen = [], []
+
+    def size(found: set[str]) -> int:
+        return sum(len(b) for b in found)
+
     for tree in trees:
         own = {b for b in dom.blocks(tree) if len(b) > 40}
-        if own and all(len(own & other) <= 0.3 * min(len(own), len(other)) for other in seen):
+        if own and all(size(own & other) <= SHARED * min(size(own), size(other)) for other in seen):
             out.append(tree)
             seen.append(own)
         if len(out) == limit:
@@ -140,21 +146,18 @@ def inmost(path: str, nodes: dict[str, list[dom.Node]], sizes: Counter[str]) ->
 
 def induce(pages: list[str]) -> tuple[str, list[str]]:
     """Path of the article and template texts (``path|text``) of pages of one kind; empty if unknown."""
-    trees = different([squeezed(dom.pruned(dom.parse(p))) for p in pages], ALIGNED_PAGES)
+    trees = different([dom.pruned(dom.parse(p)) for p in pages], ALIGNED_PAGES)
     if len(trees) < 2:
         return "", []
-    reference = trees[0]
+    reference = squeezed(trees[0])
     paths = {id(node): path for path, node in dom.walk(reference)}
-    said: dict[str, Counter[str]] = defaultdict(Counter)
+    said: Counter[str] = Counter()
     for tree in trees:
-        for one, other in tree_match(reference, tree)[1]:
-            said[paths[id(one)]][own_text(other)] += 1
-    fixed = []
+        aligned = {paths[id(one)] for one, _ in tree_match(reference, squeezed(tree))[1]}
+        # Of the whole tree: an aligned node stands for a run, which may hold a constant text anywhere.
+        said.update({f"{path}|{text}" for path, node in dom.walk(tree) if path in aligned and (text := own_text(node))})
     enough = max(LEAST_PAGES, TEMPLATE_SHARE * len(trees))
-    for path, texts_ in said.items():
-        text, times = texts_.most_common(1)[0]
-        if text and times >= enough:
-            fixed.append(f"{path}|{text}")
+    fixed = [text for text, times in said.items() if times >= enough]
     nodes: dict[str, list[dom.Node]] = defaultdict(list)
     sizes: Counter[str] = Counter()
     for tree in trees:

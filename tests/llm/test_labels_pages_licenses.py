@@ -145,6 +145,16 @@ def test_text_beside_the_largest_part_stays(spark):
     assert wrappers.article("<main><h1>T</h1><article><p>One</p></article></main>", "", frozenset()) == "T\nOne"
 
 
+def test_constant_paragraphs_after_others_are_template(spark):
+    rng = random.Random(5)
+    closing = "<p>Subscribe to our daily letter and read more</p><p>All rights are with the house</p></div></div>"
+    made = [post(i, rng) for i in range(8)]
+    pages = [(i, f"http://a.example/{i}", p.replace("</div></div>", closing, 1)) for i, (p, _) in enumerate(made)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract_articles(df).collect()}
+    assert [got[i] for i in range(8)] == [text for _, text in made]
+
+
 def test_licenses_equal_a_loop(make_docs):
     rng = random.Random(3)
 
