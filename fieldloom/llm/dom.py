@@ -63,7 +63,8 @@ class Node:
         named = ".".join(sorted(attrs.get("class", "").split()))
         self.label = tag + (f".{named}" if named else "") + (f"#{attrs['id']}" if attrs.get("id") else "")
         if "#" in self.label or named:
-            self.label = _digits.sub("0", self.label)
+            # Paths are labels with slashes between.
+            self.label = _digits.sub("0", self.label).replace("/", "_")
 
     def elements(self) -> list[Node]:
         """Children that are elements."""

@@ -155,6 +155,29 @@ def test_constant_paragraphs_after_others_are_template(spark):
     assert [got[i] for i in range(8)] == [text for _, text in made]
 
 
+def test_wrappers_come_from_all_pages_and_kinds(spark):
+    rng = random.Random(6)
+    # Forty near copies of one article, with clocks, among pages of two kinds with a notice each.
+    made = [post(i, rng) for i in range(12)]
+    pages, expected = [], []
+    for page, text in made[:6]:
+        pages.append(page.replace("</div></div>", "<p>Posted in our town blog</p></div></div>", 1))
+        expected.append(text)
+    for page, text in made[6:]:
+        page = page.replace("<h1>", "<div class='shop'><ul class='facts'><li>New<li>Used</ul></div><div class='price'><b>x</b></div><h1>", 1)
+        pages.append(page.replace("</div></div>", "<p>Sold by our town shop</p></div></div>", 1))
+        expected.append(text)
+    copied, text = post(99, rng)
+    for i in range(40):
+        pages.append(copied.replace("</div></div>", f"<p>{i} reads</p></div></div>", 1))
+        expected.append(f"{text}\n{i} reads")
+    df = spark.createDataFrame([(i, f"http://a.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in wrappers.extract_articles(df).collect()}
+    assert [got[i] for i in range(6)] == expected[:6]
+    assert all("Sold by" not in got[i] and got[i].endswith(expected[i]) for i in range(6, 12))
+    assert [got[i] for i in range(12, 52)] == expected[12:]
+
+
 def test_licenses_equal_a_loop(make_docs):
     rng = random.Random(3)
 
