@@ -169,7 +169,7 @@ from documents
 """
 )
 def reply_extraction(spark: SparkSession, folder: str) -> DataFrame:
-    parsed = reply_ops.parse_replies(_document_replies(spark, folder), repair=True)
+    parsed = reply_ops.parse_replies(_document_replies(spark, folder), repair=True, deep=True)
     data = F.col("parsed_response")
     return parsed.select(
         "doc_id",
@@ -190,7 +190,7 @@ from documents where doc_id % 8 = 7
 """
 )
 def reply_quarantine(spark: SparkSession, folder: str) -> DataFrame:
-    _, bad = reply_ops.split_replies(reply_ops.parse_replies(_document_replies(spark, folder)))
+    _, bad = reply_ops.split_replies(reply_ops.parse_replies(_document_replies(spark, folder), deep=True))
     digest = F.md5(X.strip(F.col("raw_response")))
     return bad.select("doc_id", digest.alias("digest"))
 
@@ -434,7 +434,7 @@ def score_stub(spark: SparkSession, folder: str) -> DataFrame:
     scored = score(
         prompts, open_length_scorer, ["doc_id"], attempts=2, wait_factor=0.0, wait_range=(0, 0)
     )
-    parsed = reply_ops.parse_replies(scored)
+    parsed = reply_ops.parse_replies(scored, deep=True)
     found = F.try_variant_get("parsed_response", "$.prompt_length", "bigint")
     return parsed.select("doc_id", found.alias("found"), "error", "attempts", "usage")
 

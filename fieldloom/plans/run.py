@@ -154,7 +154,7 @@ def _replies(spark, texts, template, open_scorer, base: str, run_id: str, s: Set
     called = _call(spark, remaining(open_items, left, ["url_key"]), template, open_scorer, base, run_id, s)
     called = called.unionByName(left)
     parsed = W.append_run(
-        parse_replies(called, repair=s.repair_json)
+        parse_replies(called, repair=s.repair_json, deep=True)
         .withColumn("usable", F.col("reply_json").isNotNull())
         .drop("reply_json"),
         f"{base}/replies",

@@ -150,3 +150,17 @@ def test_replies_are_cleaned_to_every_level(spark, levels):
     if levels > 1:
         shallow = {r.id: r.rung for r in parse_replies(replies, depth=1).collect()}
         assert (shallow[1], shallow[3]) == ("too_deep", "whole")
+
+
+def test_deep_replies_and_braces_in_strings_keep_their_data(spark):
+    text = '{"Leaf Key": "N/A", "": {"": 5}, "L": [{"A B": "{"}, 1.0], "Salary": "2k", "q": " \\"{ "}'
+    expected = {"leaf_key": None, "": {"": 5}, "l": ['{"A B":"{"}', "1.0"], "salary": 2000.0, "q": '"{'}
+    for level in range(39):
+        text, expected = f'{{"K {level}": 0, "k {level}": {text}, "n": 1}}', {f"k_{level}": expected, "n": 1}
+    flat = json.dumps({"Code Text": "{" * 40 + '\\"{', "n": 1})
+    replies = spark.createDataFrame([(1, f"Sure: {text}"), (2, flat), (3, "none")], "id int, raw_response string")
+    for deep in (True, False):
+        rows = {r.id: r for r in parse_replies(replies, deep=deep).withColumn("js", F.to_json("parsed_response")).collect()}
+        assert json.loads(rows[2].js) == {"code_text": "{" * 40 + '\\"{', "n": 1} and rows[2].rung == "whole"
+        assert rows[3].js is None
+        assert (json.loads(rows[1].js) == expected and rows[1].rung == "greedy") if deep else rows[1].rung == "too_deep"
