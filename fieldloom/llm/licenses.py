@@ -13,6 +13,7 @@ collide miss it with a probability of 0.57 ** 40, below one in a billion.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,14 +27,14 @@ BANDS = 40
 # Size classes: the most shingles a template of the class has.
 CLASSES = (8, 32, 128, 512)
 
-# License statements and notices as they are published.
+# License statements, openings of notices, and whole notices and short licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "Apache-2.0 notice": (
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
         "compliance with the License. You may obtain a copy of the License at"
     ),
-    "BSD-3-Clause notice": (
+    "BSD notice": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
         "that the following conditions are met"
     ),
@@ -54,7 +55,141 @@ TEMPLATES = {
     ),
     "MPL-2.0 notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
+    "AGPL-3.0 notice": (
+        'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero '
+        'General Public License as published by the Free Software Foundation, either version 3 of the License, or (at '
+        'your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY '
+        'WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU '
+        'Affero General Public License for more details. You should have received a copy of the GNU Affero General Public '
+        'License along with this program'
+    ),
+    "Apache-2.0 whole notice": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance '
+        'with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless '
+        'required by applicable law or agreed to in writing, software distributed under the License is distributed on an '
+        '"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the '
+        'specific language governing permissions and limitations under the License.'
+    ),
+    "BSD-2-Clause": (
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the '
+        'following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this '
+        'list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above '
+        'copyright notice, this list of conditions and the following disclaimer in the documentation and/or other '
+        'materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS '
+        '"AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF '
+        'MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR '
+        'CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES '
+        '(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR '
+        'BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR '
+        'TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF '
+        'THE POSSIBILITY OF SUCH DAMAGE.'
+    ),
+    "BSD-3-Clause": (
+        'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the '
+        'following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this '
+        'list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above '
+        'copyright notice, this list of conditions and the following disclaimer in the documentation and/or other '
+        'materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its '
+        'contributors may be used to endorse or promote products derived from this software without specific prior '
+        'written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS '
+        'OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR '
+        'A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY '
+        'DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, '
+        'PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER '
+        'CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR '
+        'OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH '
+        'DAMAGE.'
+    ),
+    "BSL-1.0": (
+        'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and '
+        'accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, '
+        'execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties '
+        'to whom the Software is furnished to do so, all subject to the following:'
+    ),
+    "EPL-2.0 notice": (
+        'This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 '
+        'which is available at https://www.eclipse.org/legal/epl-2.0/'
+    ),
+    "GPL-2.0 notice": (
+        'This program is free software; you can redistribute it and/or modify it under the terms of the GNU General '
+        'Public License as published by the Free Software Foundation; either version 2 of the License, or (at your '
+        'option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY '
+        'WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU '
+        'General Public License for more details. You should have received a copy of the GNU General Public License along '
+        'with this program'
+    ),
+    "GPL-3.0 notice": (
+        'This program is free software: you can redistribute it and/or modify it under the terms of the GNU General '
+        'Public License as published by the Free Software Foundation, either version 3 of the License, or (at your '
+        'option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY '
+        'WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU '
+        'General Public License for more details. You should have received a copy of the GNU General Public License along '
+        'with this program'
+    ),
+    "ISC": (
+        'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby '
+        'granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE '
+        'IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
+        'WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, '
+        'INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, '
+        'WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE '
+        'USE OR PERFORMANCE OF THIS SOFTWARE.'
+    ),
+    "LGPL-2.1 notice": (
+        'This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser '
+        'General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at '
+        'your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY '
+        'WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU '
+        'Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public '
+        'License along with this library'
+    ),
+    "LGPL-3.0 notice": (
+        'This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser '
+        'General Public License as published by the Free Software Foundation, either version 3 of the License, or (at '
+        'your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY '
+        'WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU '
+        'Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public '
+        'License along with this program'
+    ),
+    "MIT text": (
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated '
+        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation '
+        'the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and '
+        'to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above '
+        'copyright notice and this permission notice shall be included in all copies or substantial portions of the '
+        'Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+        'LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT '
+        'SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION '
+        'OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER '
+        'DEALINGS IN THE SOFTWARE.'
+    ),
+    "MPL-2.0 whole notice": (
+        'This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was '
+        'not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.'
+    ),
+    "Unlicense text": (
+        'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, '
+        'use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any '
+        'purpose, commercial or non-commercial, and by any means.'
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held "
+        'liable for any damages arising from the use of this software. Permission is granted to anyone to use this '
+        'software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject '
+        'to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim '
+        'that you wrote the original software. If you use this software in a product, an acknowledgment in the product '
+        'documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as '
+        'such, and must not be misrepresented as being the original software. 3. This notice may not be removed or '
+        'altered from any source distribution.'
+    ),
 }
+# Whole texts of longer licenses, read by the driver.
+TEXTS = Path(__file__).parent / "license_texts"
+
+
+def all_templates() -> dict[str, str]:
+    """``TEMPLATES`` and the whole texts, named after their files."""
+    return TEMPLATES | {f"{path.stem} license": path.read_text(encoding="utf-8") for path in sorted(TEXTS.glob("*.txt"))}
 
 
 def plain_words(text: Column) -> Column:
@@ -91,6 +226,7 @@ def scan_licenses(
     text: str = "text",
     least_share: float = LEAST_SHARE,
     bands: int = BANDS,
+    decide: bool = False,
 ) -> DataFrame:
     """``key, license, share, first_word, last_word`` of every template found in a whole text.
 
@@ -101,6 +237,10 @@ def scan_licenses(
     Null, empty and wordless texts match nothing; repeated rows give one row; no templates, no
     rows. Templates and their shingles are a list of the caller's, and are broadcast: it should
     hold thousands of shingles, not millions.
+
+    With ``decide``, a find is left out if another at its place has all of its shingles and more,
+    or as many and a larger share: clauses in which licenses with a common text differ decide
+    between them, and a whole notice stands for its opening.
     """
     spark = docs.sparkSession
     # Collected to become constants of the plan: a few shingles for each template given.
@@ -147,11 +287,28 @@ def scan_licenses(
             "share",
             F.element_at("_own", 1)["at"].alias("first_word"),
             (F.element_at("_own", -1)["at"] + SHINGLE - 1).alias("last_word"),
+            *([F.transform("_own", lambda x: x["at"]).alias("_at")] if decide else []),
         )
     )
+    if decide:
+        sure = _decided(sure, key)
     best = F.max(F.struct("share", -F.col("first_word"), -F.col("last_word"))).alias("_best")
     return (
         sure.groupBy(key, "_body", "license")
         .agg(best)
         .select(key, "license", F.col("_best.share").alias("share"), (-F.col("_best.col2")).alias("first_word"), (-F.col("_best.col3")).alias("last_word"))
     )
+
+
+def _decided(sure: DataFrame, key: str) -> DataFrame:
+    """Finds that no other find at their place beats; a document's finds are few."""
+    find = F.struct("license", "share", "first_word", "last_word", "_at")
+
+    def beaten(found: Column, by: Column) -> Column:
+        shared = F.size(F.array_except(found["_at"], by["_at"])) == 0
+        more = F.struct(F.size(by["_at"]), by["share"], by["license"]) > F.struct(F.size(found["_at"]), found["share"], found["license"])
+        return (found["license"] != by["license"]) & more & shared
+
+    held = sure.groupBy(key, "_body").agg(F.collect_set(find).alias("_finds"))
+    kept = F.filter("_finds", lambda found: ~F.exists("_finds", lambda by: beaten(found, by)))
+    return held.select(key, "_body", F.inline(kept)).drop("_at")

@@ -93,7 +93,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every license statement found in a document."""
-    return licenses.scan_licenses(documents(spark, sf_dir))
+    return licenses.scan_licenses(documents(spark, sf_dir), licenses.all_templates(), decide=True)
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -207,3 +207,18 @@ def test_licenses_equal_a_loop(make_docs):
     assert got == expected
     assert licenses.scan_licenses(make_docs(rows).limit(0)).count() == 0
     assert licenses.scan_licenses(make_docs(rows), {}).count() == 0
+
+
+def test_deciding_clauses_and_whole_texts(make_docs):
+    known = licenses.all_templates()
+    names = ["BSD-2-Clause", "BSD-3-Clause", "LGPL-3.0 notice", "AGPL-3.0 notice", "GPL-2.0 notice", "GPL-3.0 notice", "ISC", "Zlib", "MIT text"]
+    names += ["GPL-2 license", "Apache-2.0 license"]
+    rows = [(i, f"some words before {known[name]} and after") for i, name in enumerate(names)]
+    rows.append((100, known["BSD notice"]))
+    rows.append((101, known["BSD-3-Clause"] + " and also " * 20 + known["BSD-2-Clause"]))
+    got = {}
+    for r in licenses.scan_licenses(make_docs(rows), known, decide=True).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    for i, name in enumerate(names):
+        assert name in got[i] and (i > 8 or got[i] == {name}), (name, got[i])
+    assert got[100] == {"BSD notice"} and got[101] >= {"BSD-3-Clause", "BSD-2-Clause"}
