@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldloom.llm import exact, fingerprints, jaccard, licenses, packing, pieces, shards, substrings, toxicity, wordpieces, wrappers
+from fieldloom.llm import alignment, collocations, exact, fingerprints, jaccard, licenses, packing, pieces, private, shards, substrings, toxicity, wordpieces, wrappers
 from fieldloom.llm.stage import whole_text, written
 
 PIECE_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 WORD_MODEL = public_tokenizers.path("word_bpe_49k.json")
+BYTE_MODEL = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,7 +103,31 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_html_extraction, op4_ngram_jaccard, op5_sentencepiece, op6_sharding, op7_fingerprints, op8_best_fit_packing, op9_license_scans, op10_substring_dedup)}
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 2,000 phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's groups and links between byte-level tokens and pieces."""
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups.cast("binary"), 256))
+    rows = alignment.align_tokens(documents(spark, sf_dir), BYTE_MODEL, PIECE_MODEL, keep=digest)
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the base spans, and all spans."""
+    found = private.find_private(documents(spark, sf_dir))
+    base = F.col("base_spans")
+    return found.select(
+        "doc_id",
+        *(private.count_of(base, kind).alias(f"n_{kind}") for kind in private.KINDS),
+        F.sha2(private.as_text(base).cast("binary"), 256).alias("base_sha256"),
+        private.as_text(F.col("spans")).alias("spans"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_html_extraction, op4_ngram_jaccard, op5_sentencepiece, op6_sharding, op7_fingerprints, op8_best_fit_packing, op9_license_scans, op10_substring_dedup, op11_phrase_collocations, op12_cross_tokenizer_alignment, op13_pii)}
 
 ORACLES = {
     "op2_exact_dedup": """
@@ -141,4 +166,30 @@ ORACLES = {
             GROUP BY doc_id)
         SELECT w.doc_id, len(w) AS n_words, len(w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
         FROM w LEFT JOIN k ON k.doc_id = w.doc_id""",
+    "op11_phrase_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(list_transform(
+                regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'),
+                lambda x: regexp_extract_all(x, '[^\x20\x09]+'))) AS w
+            FROM documents),
+        g AS (
+            SELECT lang, k AS size, w[i : i + k - 1] AS g, count(*) AS f
+            FROM p, LATERAL (SELECT unnest([1, 2, 3]) AS k) s, LATERAL (SELECT unnest(range(1, len(w) - k + 2)) AS i) t
+            GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM g WHERE size = 1 GROUP BY lang),
+        c AS (SELECT lang, size, g, f FROM g WHERE size > 1 AND f >= 10),
+        i AS (
+            SELECT lang, s, max(f) AS most
+            FROM (SELECT lang, f, unnest([g[1:2], g[2:3]]) AS s FROM c WHERE size = 3) GROUP BY ALL),
+        k AS (SELECT c.* FROM c LEFT JOIN i ON i.lang = c.lang AND i.s = c.g WHERE most IS NULL OR 100 * most < 50 * f),
+        x AS (
+            SELECT k.lang, k.g, k.f AS a, cut, l.f AS l, r.f AS r,
+                   (1000000::HUGEINT * k.f * k.f // (l.f::HUGEINT * r.f))::BIGINT AS score
+            FROM k, LATERAL (SELECT unnest(range(1, k.size)) AS cut) t
+            JOIN g l ON l.lang = k.lang AND l.g = k.g[1:cut] JOIN g r ON r.lang = k.lang AND r.g = k.g[cut + 1:]),
+        b AS (
+            SELECT *, array_to_string(g, ' ') AS phrase FROM x
+            QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1),
+        o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b)
+        SELECT o.lang, rank, phrase, a, l, r, n.n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000""",
 }
