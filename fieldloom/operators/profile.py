@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,18 +17,12 @@ from fieldloom.session import cut_lineage
 # Names in the type histogram.
 TYPES = ["str", "int", "float", "bool", "list", "dict"]
 
-# Beyond every order value.
-NO_BOUND = 2**63 - 1
-
-# Groups the samples of a field are hashed into while looking for the first distinct ones; a
-# task sends at most this many rows per field.
-SAMPLE_GROUPS = 512
+# Facts a task combines at a time, and fields it keeps before it hands them on and starts afresh.
+STEP_FACTS = 100_000
+HELD_FIELDS = 100_000
 
-# Up to this many fields, their bounds are written into the plan of the second pass.
-MAX_LISTED_FIELDS = 200
-
-# Field bounds up to this measured size are broadcast.
-MAX_BROADCAST_BYTES = 32 * 1024 * 1024
+_NUMBERS = ["count", "non_null_count", "records", "wide_ints", *TYPES]
+_PARTIAL = "field string, " + ", ".join(f"{name} long" for name in _NUMBERS) + ", firsts array<struct<at:long,sample:string>>"
 
 
 def _filled() -> Column:
@@ -32,72 +30,104 @@ def _filled() -> Column:
     return F.col("sample") != ""
 
 
-def _field_groups(facts: DataFrame, order: str) -> DataFrame:
-    """Counts per field and sample group, in one hash aggregation over numbers only."""
-    hashed = facts.withColumn("hash", F.when(_filled(), F.xxhash64("sample")))
-    is_wide = (F.col("type") == "int") & F.col("sample").try_cast("bigint").isNull()
-    return hashed.groupBy("field", F.pmod("hash", F.lit(SAMPLE_GROUPS)).alias("part")).agg(
-        F.count("field").alias("count"),
-        F.count_if(_filled()).alias("non_null_count"),
-        F.count_if("starts_record").alias("records"),
-        F.count_if(is_wide).alias("wide_ints"),
-        *[F.count_if(_filled() & (F.col("type") == t)).alias(t) for t in TYPES],
-        F.min(F.when(_filled(), F.col(order))).alias("first_at"),
-        (F.min("hash") == F.max("hash")).alias("single"),
-    )
-
+class FieldStates:
+    """Per field its numbers and the earliest distinct samples, from facts in any order.
 
-def _field_counts(groups: DataFrame) -> DataFrame:
-    """One row per field, and the order value by which its first samples have all been seen.
-
-    Groups hold different samples, so by the time enough groups have started, enough distinct
-    samples have been seen. With fewer groups the bound is the last start when every group
-    holds one sample, and open otherwise.
+    States of the same field merge by adding the numbers and taking the earliest samples of both.
     """
-    starts = F.array_sort(F.collect_list("first_at"))
-    bound = F.when(F.size(starts) >= C.MAX_SAMPLES, F.get(starts, F.lit(C.MAX_SAMPLES - 1))).when(
-        F.bool_and("single"), F.array_max(starts)
-    )
-    summed = ["count", "non_null_count", "records", "wide_ints", *TYPES]
-    return groups.groupBy("field").agg(
-        *[F.sum(c).alias(c) for c in summed],
-        bound.alias("bound"),
-    )
-
 
-def _near_facts(records: DataFrame, counts: DataFrame, order: str, fields: str) -> DataFrame:
-    """Filled facts up to the bound of their field; later ones cannot be first samples.
-
-    With few fields the bounds are literals, applied before the records are exploded. With many
-    they are joined to the facts when their measured size allows a broadcast, else left out:
-    the samples are the same, only more facts are looked at.
-    """
-    bounds = counts.filter("non_null_count > 0").select("field", "bound")
-    measured = bounds.agg(
-        F.max("bound").alias("last"),
-        F.count_if(F.col("bound").isNull()).alias("open"),
-        F.sum(F.octet_length("field") + 16).alias("bytes"),
-    ).first()
-    if not measured.open:
-        records = records.filter(F.col(order) <= F.lit(measured.last))
-    listed = bounds.limit(MAX_LISTED_FIELDS + 1).collect()
-    if 0 < len(listed) <= MAX_LISTED_FIELDS:
-        ends = [(r.field, NO_BOUND if r.bound is None else r.bound) for r in listed]
-        ends = F.create_map(*[F.lit(part) for end in ends for part in end])
-        is_near = lambda name, _: F.col(order) <= F.try_element_at(ends, name)
-        records = records.withColumn(fields, F.map_filter(fields, is_near))
-    facts = field_facts(records, order, fields).filter(_filled())
-    if len(listed) > MAX_LISTED_FIELDS and measured.bytes <= MAX_BROADCAST_BYTES:
-        facts = facts.join(F.broadcast(bounds), "field").filter(
-            F.col("bound").isNull() | (F.col(order) <= F.col("bound"))
-        )
-    return facts
+    def __init__(self):
+        self.numbers: dict[str | None, list[int]] = {}
+        self.firsts: dict[str, dict[str, int]] = {}
+        # By when a field's kept samples had all been seen; a later fact cannot be one of them.
+        self.closed: dict[str, int] = {}
+
+    def add(self, facts: pa.Table) -> None:
+        """Take up facts: ``at, field, type, sample, starts_record, filled, wide``."""
+        sums = facts.group_by(["field", "type"]).aggregate([("filled", "count"), ("filled", "sum"), ("starts_record", "sum"), ("wide", "sum")])
+        for field, kind, count, filled, starts, wide in zip(
+            *(sums.column(name).to_pylist() for name in ("field", "type", "filled_count", "filled_sum", "starts_record_sum", "wide_sum")), strict=True
+        ):
+            own = self.numbers.setdefault(field, [0] * len(_NUMBERS))
+            own[0] += count if field is not None else 0
+            own[1] += filled or 0
+            own[2] += starts or 0
+            own[3] += wide or 0
+            if kind in TYPES:
+                own[4 + TYPES.index(kind)] += filled or 0
+        open_ = facts.filter(facts.column("filled"))
+        if self.closed:
+            place = pc.index_in(open_.column("field"), pa.array(list(self.closed)))
+            bound = pc.take(pa.array(list(self.closed.values()), pa.int64()), place)
+            open_ = open_.filter(pc.fill_null(pc.less(open_.column("at"), bound), True))
+        if not open_.num_rows:
+            return
+        seen = open_.group_by(["field", "sample"]).aggregate([("at", "min")]).sort_by("at_min")
+        for field, sample, at in zip(*(seen.column(name).to_pylist() for name in ("field", "sample", "at_min")), strict=True):
+            own = self.firsts.setdefault(field, {})
+            if sample in own:
+                own[sample] = min(own[sample], at)
+            elif len(own) < C.MAX_SAMPLES:
+                own[sample] = at
+            else:
+                last = max(own, key=lambda s: (own[s], s))
+                if (at, sample) < (own[last], last):
+                    del own[last]
+                    own[sample] = at
+        for field in set(seen.column("field").to_pylist()):
+            own = self.firsts[field]
+            if len(own) == C.MAX_SAMPLES:
+                self.closed[field] = max(own.values()) + 1  # what came with the last one may go before it
+
+    def rows(self) -> pa.RecordBatch:
+        """One row per field."""
+        fields = list(self.numbers)
+        arrays = [pa.array(fields, pa.string())]
+        arrays += [pa.array([self.numbers[field][i] for field in fields], pa.int64()) for i in range(len(_NUMBERS))]
+        firsts = [[{"at": at, "sample": sample} for sample, at in self.firsts.get(field, {}).items()] for field in fields]
+        arrays.append(pa.array(firsts, pa.list_(pa.struct([("at", pa.int64()), ("sample", pa.string())]))))
+        return pa.RecordBatch.from_arrays(arrays, names=["field", *_NUMBERS, "firsts"])
+
+
+def _combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The facts of a task as one state per field."""
+    states, held, size = FieldStates(), [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size >= STEP_FACTS:
+            states.add(pa.Table.from_batches(held))
+            held, size = [], 0
+            if len(states.numbers) > HELD_FIELDS:
+                yield states.rows()
+                states = FieldStates()
+    if held:
+        states.add(pa.Table.from_batches(held))
+    if states.numbers:
+        yield states.rows()
+
+
+def _field_states(facts: DataFrame, order: str) -> DataFrame:
+    """A few rows per field, one from each task: numbers and earliest samples. Checkpointed, so
+    the input is read once whatever is made of them."""
+    is_wide = (F.col("type") == "int") & F.col("sample").try_cast("bigint").isNull()
+    narrow = facts.select(
+        F.col(order).cast("long").alias("at"),
+        "field",
+        "type",
+        "sample",
+        "starts_record",
+        F.coalesce(_filled(), F.lit(False)).alias("filled"),
+        F.coalesce(is_wide, F.lit(False)).alias("wide"),
+    )
+    return cut_lineage(narrow.mapInArrow(_combine, _PARTIAL))
 
 
-def _first_samples(facts: DataFrame, order: str) -> DataFrame:
-    """First distinct samples per field by arrival; the rank filter is also applied before its
-    shuffle."""
-    seen = facts.groupBy("field", "sample").agg(F.min(order).alias("at"))
+def _first_samples(states: DataFrame) -> DataFrame:
+    """First distinct samples per field by arrival, from those of every task; the rank filter is
+    also applied before its shuffle."""
+    firsts = states.select("field", F.explode("firsts").alias("first")).select("field", "first.*")
+    seen = firsts.groupBy("field", "sample").agg(F.min("at").alias("at"))
     by_arrival = Window.partitionBy("field").orderBy("at", "sample")
     ranked = seen.withColumn("rank", F.row_number().over(by_arrival))
     kept = ranked.filter(F.col("rank") <= C.MAX_SAMPLES)
@@ -109,12 +139,14 @@ def profile_fields(records: DataFrame, order: str, fields: str = "fields") -> Da
     """Statistics of every field over all records.
 
     ``fields`` is a ``map<string,variant>`` and ``order`` a whole number unique to the record
-    that gives arrival order. The first pass keeps numbers only, a few rows per field and task;
-    its small result is checkpointed and bounds what the second pass has to look at.
+    that gives arrival order. Tasks reduce their records to one state per field (numbers, and the
+    earliest distinct samples); only these are shuffled. The plan is the same for any number of
+    fields, and the records are read once.
     """
-    counts = cut_lineage(_field_counts(_field_groups(field_facts(records, order, fields), order)))
-    total = F.lit(counts.agg(F.sum("records")).first()[0]).cast("bigint")
-    samples = _first_samples(_near_facts(records, counts, order, fields), order)
+    states = _field_states(field_facts(records, order, fields), order)
+    counts = states.groupBy("field").agg(*[F.sum(c).alias(c) for c in _NUMBERS])
+    total = F.lit(states.agg(F.sum("records")).first()[0]).cast("bigint")
+    samples = _first_samples(states)
     histogram = F.map_filter(
         F.create_map(*[x for t in TYPES for x in (F.lit(t), F.col(t))]), lambda _, n: n > 0
     )

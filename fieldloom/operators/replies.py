@@ -9,40 +9,19 @@ from fieldloom.functions import json as J
 from fieldloom.functions import text as X
 
 
-def parse_replies(
-    replies: DataFrame, raw: str = "raw_response", repair: bool = False, depth: int | None = None, deep: bool = False
-) -> DataFrame:
+def parse_replies(replies: DataFrame, raw: str = "raw_response", repair: bool = False) -> DataFrame:
     """Add ``rung``, ``reply_json`` and ``parsed_response``: how an object was found in the
     reply, its text, and the cleaned data as VARIANT; the last two are null when there is none.
 
-    Objects are cleaned to every level. The plan has as many levels as the replies need, up to
-    ``MAX_DEPTH``, which a scan of their braces tells; name ``depth`` to do without the scan. A
-    reply that nests deeper than the plan is cleaned object by object if ``deep``, by way of
-    Python; else it gets the rung ``too_deep`` and no data, so it is quarantined.
+    Objects are cleaned to every level, however deep they nest.
     """
     found = replies.withColumn("_found", J.read_reply(F.col(raw), repair))
-    levels = J.object_levels(F.col("_found.json"))
-    beyond = depth is not None
-    if depth is None:
-        # Braces in strings and around the object count here, so this is a bound.
-        deepest = replies.agg(F.max(J.nesting(F.col(raw)))).first()[0] or 1
-        if deepest > J.MAX_DEPTH:
-            deepest = found.agg(F.max(levels)).first()[0] or 1
-        beyond = deepest > J.MAX_DEPTH
-        depth = min(J.MAX_DEPTH, max(1, deepest))
-    fits = levels <= depth
     text = F.col("_found.json")
-    cleaned = F.when(fits, J.clean_json(text, depth))
-    if deep:
-        if beyond:
-            found = J.with_deep_json(found, F.when(~fits, text), "_deep")
-            cleaned = F.coalesce(cleaned, F.col("_deep"))
-        fits = text.isNotNull()
     return found.select(
         *replies.columns,
-        F.when(fits | text.isNull(), F.col("_found.rung")).otherwise("too_deep").alias("rung"),
-        F.when(fits, text).alias("reply_json"),
-        cleaned.alias("parsed_response"),
+        F.col("_found.rung").alias("rung"),
+        text.alias("reply_json"),
+        J.clean_json(text).alias("parsed_response"),
     )
 
 

@@ -41,10 +41,10 @@ def misc_fields(fields: Column, standard: list[str], limit: int = C.MAX_MISC_ITE
     under its own name.
     """
     supplied = F.try_element_at(fields, F.lit(C.MISC_COLUMN))
-    named = F.array(*[F.lit(f) for f in [*standard, C.MISC_COLUMN]])
+    named = [*standard, C.MISC_COLUMN]  # a list of literals is looked up as a hash set
     own = J.object_map(supplied)
     whole = F.when(own.isNull() & ~J.is_null(supplied), F.create_map(F.lit(C.MISC_COLUMN), supplied))
-    rest = F.map_filter(fields, lambda k, _: ~F.array_contains(named, k))
+    rest = F.map_filter(fields, lambda k, _: ~k.isin(named))
     filled = F.map_filter(J.merge_maps(own, whole, rest), lambda _, v: ~J.is_null(v))
 
     def first_by_name(m: Column) -> Column:

@@ -77,7 +77,16 @@ def save_final_table(results: DataFrame, output: str, order: str = "ordinal", **
     fields = derive_schema(
         profile, options.get("threshold", C.MIN_FIELD_FREQUENCY), options.get("strict_compat", False)
     )
-    metadata = table.agg(F.count("*").alias("total_jobs")).withColumn("timestamp", F.lit(stamp))
+    # One row per field of a checked schema and its profile, as two lists beside the totals.
+    rows = F.array_sort(F.collect_list(F.struct("position", "field", "role", "kind")))
+    analysis = F.array_sort(F.collect_list(F.struct(*(F.col(c) for c in profile_as_json(profile).columns if c != "types"))))
+    parts = [
+        table.agg(F.count("*").alias("total_jobs")).withColumn("timestamp", F.lit(stamp)),
+        fields.agg(F.transform(rows, lambda r: F.struct(r["field"].alias("field"), r["role"].alias("role"), r["kind"].alias("kind"))).alias("schema")),
+        profile.agg(analysis.alias("field_analysis")),
+    ]
+    one = [part.withColumn("_one", F.lit(1)) for part in parts]
+    metadata = one[0].join(one[1], "_one").join(one[2], "_one").drop("_one")
     W.write_json(profile_as_json(profile), f"{folder}/field_analysis_report")
     W.write_objects(jobs, "job", f"{folder}/full_data/jobs")
     W.write_lines(spark.read.text(f"{folder}/full_data/jobs"), f"{latest}/full_data/jobs")

@@ -84,23 +84,41 @@ def random_objects(seed, n):
     return objects
 
 
-@pytest.mark.parametrize("groups", [2, 64])
+@pytest.mark.parametrize("step", [1, 7, 100_000])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_profile_matches_loop(spark, monkeypatch, seed, groups):
-    monkeypatch.setattr(profile_ops, "SAMPLE_GROUPS", groups)
-    objects = [*random_objects(seed, 400), {}]
-    expected = python_profile(objects)
-    assert spark_profile(profile_fields(records_of(spark, objects, 1), "pos")) == expected
-    assert spark_profile(profile_fields(records_of(spark, objects, 8), "pos")) == expected
-
-
-@pytest.mark.parametrize("broadcast_bytes", [-1, 10**6])
-def test_profile_of_many_fields(spark, monkeypatch, broadcast_bytes):
-    monkeypatch.setattr(profile_ops, "MAX_LISTED_FIELDS", 3)
-    monkeypatch.setattr(profile_ops, "MAX_BROADCAST_BYTES", broadcast_bytes)
+def test_profile_matches_loop(spark, monkeypatch, seed, step):
+    monkeypatch.setattr(profile_ops, "STEP_FACTS", step)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        objects = [*random_objects(seed, 400), {}]
+        expected = python_profile(objects)
+        assert spark_profile(profile_fields(records_of(spark, objects, 1), "pos")) == expected
+        assert spark_profile(profile_fields(records_of(spark, objects, 8), "pos")) == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2000)
+
+
+def test_states_handed_on_early_merge(spark, monkeypatch):
+    monkeypatch.setattr(profile_ops, "STEP_FACTS", 5)
+    monkeypatch.setattr(profile_ops, "HELD_FIELDS", 2)
     objects = random_objects(3, 200)
-    found = spark_profile(profile_fields(records_of(spark, objects), "pos"))
-    assert found == python_profile(objects)
+    assert spark_profile(profile_fields(records_of(spark, objects), "pos")) == python_profile(objects)
+
+
+def test_first_samples_do_not_depend_on_the_order_of_facts(spark):
+    objects = random_objects(4, 300)
+    shuffled = records_of(spark, objects, 3).orderBy(F.xxhash64("pos"))
+    assert spark_profile(profile_fields(shuffled, "pos")) == python_profile(objects)
+
+
+def test_profile_of_many_fields_has_the_same_plan(spark):
+    def plan(fields):
+        objects = [{f"f{i}": i} for i in range(fields)]
+        found = profile_fields(records_of(spark, objects, 4), "pos")
+        assert found.count() == fields
+        return found._jdf.queryExecution().optimizedPlan().toString().count("\n")
+
+    assert plan(10) == plan(2000)
 
 
 def test_no_records(spark):

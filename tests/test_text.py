@@ -40,7 +40,7 @@ def test_clean_text(spark):
 
 def test_urls(spark):
     cases = {
-        "HTTPS://Me@Host.org:8080/a?b=linkedin.com": "me@host.org:8080", "no scheme": "unknown",
+        "HTTPS://Me@Host.org:8080/a?b=linkedin.com": "me@host.org:8080", "no scheme": "",
         None: "unknown",
     }
     assert apply(spark, cases, X.url_authority) == list(cases.values())
