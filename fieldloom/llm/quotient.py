@@ -19,7 +19,7 @@ from fieldloom.llm.batches import forget_tables
 from fieldloom.llm.words import _M1, _M2, mix
 
 # n-grams a task gathers before it sends filters of them.
-FILTER_GRAMS = 2_000_000
+FILTER_GRAMS = 1_000_000
 # n-grams of the whole input per shard, so that one shard's merged filter fits a task.
 SHARD_GRAMS = 1_000_000
 LEAST_SHARD_BITS, MOST_SHARD_BITS = 8, 24
