@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 from tokenizers import Tokenizer
@@ -25,6 +26,8 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _plain = re.compile(f"[{_LETTERS}!-&(-@\\[-`{{-~]+").fullmatch
 _runs = re.compile(f"[{_LETTERS}]+|[^{_LETTERS}]+").findall
 _letters = re.compile(f"[{_LETTERS}]+").fullmatch
+# What commonly follows a word: signs that start no ending and no special token.
+_TAIL = "!\"#$%&()*+,-./:;=>?@[\\]^_`{|}~"
 
 
 def byte_letters() -> list[str]:
@@ -62,10 +65,11 @@ class WordModel:
 
     def _run_ids(self, runs: list[str]) -> list[bytes]:
         out = []
+        tokenize = self.model.tokenize
         for run in runs:
             if _letters(run):
                 mapped = run if run.isascii() else "".join(self.byte_letters[b] for b in run.encode())
-                found = [token.id for token in self.model.tokenize(mapped)]
+                found = [token.id for token in tokenize(mapped)]
                 out.append(pack(f"<{len(found)}I", *found))
             else:
                 out.append(self.whole(run))
@@ -73,7 +77,13 @@ class WordModel:
 
     def chunk_ids(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks without white space: letter runs are looked up, odd chunks go to the library."""
-        cut = [_runs(chunk.lower()) if _plain(chunk) and "<|" not in chunk else None for chunk in chunks]
+        cut: list[tuple[str, ...] | list[str] | None] = []
+        for chunk in chunks:
+            word = chunk.rstrip(_TAIL)
+            if _letters(word):
+                cut.append((word.lower(), chunk[len(word) :]) if len(word) < len(chunk) else (word.lower(),))
+            else:
+                cut.append(_runs(chunk.lower()) if _plain(chunk) and "<|" not in chunk else None)
         self.runs.learn(run for row in cut if row for run in row)
         get = self.runs.__getitem__
         return [
@@ -81,16 +91,52 @@ class WordModel:
             for chunk, row in zip(chunks, cut, strict=True)
         ]
 
+    def _pieces(self, chunks: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Ids of letter runs, of what follows them and of other chunks, and which two of these
+        every chunk is made of. Runs are compared in lower case and without what follows, so far
+        fewer than chunks have to be looked up one by one."""
+        word = pc.utf8_rtrim(chunks, characters=_TAIL)
+        plain = pc.match_substring_regex(word, f"^[{_LETTERS}]+$")
+        runs = pc.utf8_lower(word.filter(plain)).dictionary_encode()
+        tails = pc.replace_substring_regex(chunks.filter(plain), f"^[{_LETTERS}]+", "").dictionary_encode()
+        run, tail = runs.dictionary.to_pylist(), tails.dictionary.to_pylist()
+        self.runs.learn([*run, *tail])
+        odd = chunks.filter(pc.invert(plain)).to_pylist()
+        table = kept_table(("words", self.path), lambda: ChunkTable(self.chunk_ids))
+        known = [self.runs[x] for x in run] + [self.runs[x] for x in tail]
+        table.learn(odd)  # may learn runs too, so it comes after they have been looked up
+        pieces = [*known, *map(table.__getitem__, odd), b""]
+        is_plain = plain.to_numpy(zero_copy_only=False)
+        first = np.empty(len(chunks), np.int64)
+        second = np.full(len(chunks), len(pieces) - 1, np.int64)
+        first[is_plain] = runs.indices.to_numpy(zero_copy_only=False)
+        second[is_plain] = len(run) + tails.indices.to_numpy(zero_copy_only=False)
+        first[~is_plain] = len(known) + np.arange(len(odd))
+        return pieces, first, second
+
     def ids(self, values: list[str]) -> Iterator[bytes]:
-        """Ids of whole texts."""
+        """Ids of whole texts, put together from those of their distinct chunks by place."""
         if not self.by_chunk:
             yield from map(self.whole, values)
             return
-        table = kept_table(("words", self.path), lambda: ChunkTable(self.chunk_ids))
-        rows = [re.split("[ \n\t\r]+", v) if "\t" in v or "\r" in v else v.replace("\n", " ").split(" ") for v in values]
-        table.learn(chunk for row in rows for chunk in row)
-        for row in rows:
-            yield b"".join(map(table.__getitem__, row))
+        array = pa.array(values, pa.large_string())
+        for space in ("\n", "\t", "\r"):
+            array = pc.replace_substring(array, space, " ")
+        split = pc.split_pattern(array, " ")
+        words = split.flatten().dictionary_encode()
+        pieces, first, second = self._pieces(words.dictionary)
+        size = np.array([len(data) // 4 for data in pieces], np.int64)
+        begin = np.cumsum(size) - size
+        flat = np.frombuffer(b"".join(pieces), "<u4")
+        codes = words.indices.to_numpy(zero_copy_only=False)
+        # Two pieces stand for every chunk.
+        both = np.stack([first[codes], second[codes]], axis=1).ravel()
+        ends = np.concatenate([[0], np.cumsum(size[both])])
+        place = np.repeat(begin[both] - ends[:-1], size[both]) + np.arange(ends[-1])
+        ids = flat[place]
+        bounds = ends[2 * split.offsets.to_numpy(zero_copy_only=False).astype(np.int64)].tolist()
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            yield ids[a:b].tobytes()
 
 
 def token_pieces(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", limit: int = 4096, end_id: int | None = 1) -> DataFrame:
