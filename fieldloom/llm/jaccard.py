@@ -8,10 +8,10 @@ more. Small sets are joined by their pairs of such shingles (subsets of fixed si
 and those that reach up to them by scanning the inverted list of each such shingle; the boundary is
 where the counted cost of both is least.
 
-Every list first compares its members with one of them only; members found linked are one
-component, and where all are in one the list is done. In the others, every pair across components
-that could still be linked is compared, so no link between components is lost, and a group of n
-copies costs n comparisons.
+Every list first compares its members with one of them only, the one with the fewest shingles that
+no other set has; members found linked are one component, and where all are in one the list is
+done. In the others, every pair across components that could still be linked is compared, so no
+link between components is lost, and a group of n copies costs n comparisons.
 """
 
 from __future__ import annotations
@@ -138,9 +138,9 @@ def distinct_sets(table: DataFrame) -> DataFrame:
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """``set, size, places, first``: the rarest shared shingles of every set that can be linked.
+    """``set, size, alone, places, first``: the rarest shared shingles of every set that can be linked.
 
-    ``places`` of them decide single lists; ``first`` holds one more, for pairs, where there is
+    ``alone`` shingles are in no other set. ``places`` of the others decide single lists; ``first`` holds one more, for pairs, where there is
     one. Each entry is (number of sets that have it, shingle).
     """
     rows = sets.select("set", "size", F.explode("tokens").alias("token"))
@@ -155,7 +155,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
     places = F.greatest(F.lit(0), F.col("size") - least + 1 - alone)
     return written(
         shared.where(F.size("shared") >= least)
-        .select("set", "size", places.alias("places"), F.slice("shared", 1, places + 1).alias("first"))
+        .select("set", "size", alone.alias("alone"), places.alias("places"), F.slice("shared", 1, places + 1).alias("first"))
         .where("places > 0")
     )
 
@@ -184,18 +184,18 @@ def small_boundary(firsts: DataFrame, largest: int = MAX_SMALL) -> int:
 
 
 def postings(firsts: DataFrame, boundary: int) -> DataFrame:
-    """``key, set, size``: sets with a key in common are the candidates. Written."""
+    """``key, set, alone``: sets with a key in common are the candidates. Written."""
     tokens = F.transform("first", lambda x: x["token"])
-    small = firsts.where(F.col("size") <= boundary).select("set", "size", tokens.alias("t"))
+    small = firsts.where(F.col("size") <= boundary).select("set", "alone", tokens.alias("t"))
     pairs = F.flatten(
         F.transform(
             "t",
             lambda x, i: F.transform(F.slice(F.col("t"), i + 2, F.greatest(F.size("t") - i - 1, F.lit(0))), lambda y: F.xxhash64(F.lit("pair"), x, y)),
         )
     )
-    by_pair = small.select(F.explode(pairs).alias("key"), "set", "size")
+    by_pair = small.select(F.explode(pairs).alias("key"), "set", "alone")
     large = firsts.where(F.col("size") * DEN > NUM * boundary)
-    by_list = large.select(F.explode(F.slice(tokens, 1, F.col("places"))).alias("key"), "set", "size")
+    by_list = large.select(F.explode(F.slice(tokens, 1, F.col("places"))).alias("key"), "set", "alone")
     return written(by_pair.union(by_list))
 
 
@@ -210,39 +210,61 @@ def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def set_links(sets: DataFrame) -> DataFrame:
     """Links (a, b) between sets that connect all that are linked. Written.
 
-    The sets of one list were all measured against its first; sets measured against the same one
-    are a star. Two sets of a star share at most what both share with its centre and what either
-    has in common with others beside it, which rules out most pairs without looking at them.
+    The sets of one list were all measured against its head; sets measured against the same one
+    are a star.
     """
     firsts = prefixes(sets)
     rows = postings(firsts, small_boundary(firsts))
-    heads = rows.groupBy("key").agg(F.min("set").alias("b"), F.max("set").alias("_last")).where("b < _last").select("key", "b")
-    tried = rows.join(heads, "key").where("set <> b").select(F.col("set").alias("a"), "b").distinct()
+    heads = rows.groupBy("key").agg(F.min(F.struct("alone", "set")).alias("head"), F.min("set").alias("_a"), F.max("set").alias("_b")).where("_a < _b")
+    tried = rows.join(heads.select("key", F.col("head.set").alias("b")), "key").where("set <> b").select(F.col("set").alias("a"), "b").distinct()
     tried = written(measured(tried, sets))
     links = tried.where("linked").select("a", "b")
+    across = candidates_across(tried, components(links), sets)
+    return links.union(written(measured(across, sets)).where("linked").select("a", "b"))
+
+
+def candidates_across(tried: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of sets of one star in different components that may be linked.
 
-    label = components(links)
-    sizes = sets.select("set", "size", F.size("tokens").alias("shared"))
-    points = tried.select(F.col("b").alias("star"), F.col("a").alias("set"), "both").join(sizes, "set")
-    centres = tried.select(F.col("b").alias("set")).distinct().join(sizes, "set")
-    points = points.unionByName(centres.withColumns({"star": F.col("set"), "both": F.col("shared")}))
-    points = points.join(label, points.set == label.node, "left").select(
-        "star", "set", "size", "both", (F.col("shared") - F.col("both")).alias("beside"), F.coalesce("component", "set").alias("part")
+    Two sets of a star share at most what both share with its centre and what either has beside it
+    in common with any set of the star (``beside``). No set of the star is smaller than ``least``,
+    so a set that has too few shingles in common with all of them together is linked to none; the
+    others are compared across components if the same bound allows the pair.
+    """
+    points = tried.select(F.col("b").alias("star"), F.col("a").alias("set"), "both")
+    points = points.join(label, points.set == label.node, "left").select("star", "set", "both", F.coalesce("component", "set").alias("part"))
+    mixed = points.groupBy("star").agg(F.min("part").alias("_low"), F.max("part").alias("_high")).where("_low < _high").select("star")
+    own = sets.select("set", "size", "tokens")
+    centre = sets.select(F.col("set").alias("star"), F.col("tokens").alias("_tokens"))
+    rests = written(
+        points.join(mixed, "star", "left_semi")
+        .join(own, "set")
+        .join(centre, "star")
+        .select("star", "set", "part", "size", "both", F.array_except("tokens", "_tokens").alias("rest"))
+    )
+    spread = rests.select("star", "set", F.explode("rest").alias("token"))
+    counts = spread.groupBy("star", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    beside = spread.join(counts, ["star", "token"]).groupBy("star", "set").agg(F.count(F.lit(1)).cast("int").alias("beside"))
+    smallest = rests.groupBy("star").agg(F.min("size").alias("least"))
+    points = (
+        rests.drop("rest")
+        .join(beside, ["star", "set"], "left")
+        .join(smallest, "star")
+        .withColumn("beside", F.coalesce("beside", F.lit(0)))
+        .where((F.col("both") + F.col("beside")) * (NUM + DEN) >= (F.col("size") + F.col("least")) * NUM)
     )
     parts = points.groupBy("star", "part").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("star").agg(F.max(F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    points = written(points.join(mixed.select("star", F.col("most.part").alias("main")), "star"))
+    main = parts.groupBy("star").agg(F.max(F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    points = written(points.join(main.select("star", F.col("most.part").alias("main")), "star"))
     # Every set outside a star's main component against every set of another component.
     outside = points.where("part <> main").select("star", *[F.col(c).alias("_" + c) for c in ("set", "size", "both", "beside", "part")])
     at_most = F.least("both", "_both") + F.least("beside", "_beside")
-    across = (
+    return (
         outside.join(points, "star")
         .where((F.col("_part") != F.col("part")) & (at_most * (NUM + DEN) >= (F.col("size") + F.col("_size")) * NUM))
         .select(F.greatest("_set", "set").alias("a"), F.least("_set", "set").alias("b"))
         .distinct()
-        .join(tried.select("a", "b"), ["a", "b"], "left_anti")
     )
-    return links.union(written(measured(across, sets)).where("linked").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = SHINGLE) -> DataFrame:
