@@ -111,11 +111,10 @@ def field_facts(records: DataFrame, order: str, fields: str = "fields") -> DataF
     A record without fields keeps one row with a null field, so records stay countable.
     """
     exploded = records.select(order, F.posexplode_outer(fields).alias("_at", "field", "value"))
-    # Type and text are columns of their own, so each is read from the VARIANT once.
+    # Schema and text are columns of their own, so each is read from the VARIANT once.
     value = F.col("value")
-    typed = exploded.select(
-        order, "_at", "field", J.value_type(value).alias("type"), J.raw_text(value).alias("text")
-    )
+    read = exploded.select(order, "_at", "field", F.schema_of_variant(value).alias("schema"), J.raw_text(value).alias("text"))
+    typed = read.select(order, "_at", "field", J.type_of_schema(F.col("schema")).alias("type"), "text")
     shown = J.typed_text(F.col("text"), F.col("type"))
     return typed.select(
         order,
