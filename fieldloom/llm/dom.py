@@ -35,9 +35,16 @@ OTHER_NAMES = frozenset(
     "ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu "
     "breadcrumb breadcrumbs header masthead topbar footer foot sidebar aside cookie cookies consent gdpr notice alert popup "
     "modal overlay share sharing social comment comments reply replies respond discussion disqus related recommended "
-    "recommendations newsletter subscribe subscription signup login search pagination pager copyright widget toolbar "
-    "skip hidden".split()
+    "recommendations newsletter subscribe subscription signup login search pagination pager copyright toolbar skip".split()
 )
+# Words that say so only as the first of a name.
+OTHER_FIRST = frozenset({"widget"})
+# Words of names that tell what else there is.
+ABOUT_OTHERS = frozenset("has have with without no not".split())
+# First words of the names of an article's own header, and names and least size of a lead in it.
+OWN = frozenset("article entry post story content single".split())
+LEAD = frozenset("lead lede intro summary abstract standfirst subtitle dek".split())
+LEAD_CHARS = 40
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
 # Elements nested deeper than this become neighbours of the last, as in browsers.
@@ -133,9 +140,34 @@ def name_words(node: Node) -> list[str]:
     return _name_words(node.attrs.get("class", "") + " " + node.attrs.get("id", "")) if node.attrs else []
 
 
+def named_other(node: Node) -> bool:
+    """Whether a class name or the id says that an element is no part of an article.
+
+    A name that says what an element has or lacks (``has-sidebar``, ``no-sidebar``,
+    ``page-with-menu``) says nothing of the element itself; names such as ``hidden-xs`` and
+    ``elementor-widget`` are those of layouts.
+    """
+    for name in (node.attrs.get("class", "") + " " + node.attrs.get("id", "")).split():
+        words = [w.lower() for w in _name_words(name)]
+        if not words or not ABOUT_OTHERS.isdisjoint(words):
+            continue
+        if any(w in OTHER_NAMES for w in words) or words[0] in OTHER_FIRST or words == ["hidden"]:
+            return True
+    return False
+
+
+def is_own_header(node: Node) -> bool:
+    """Whether an element in an article is its header, by tag or a name like ``entry-header``."""
+    if node.tag == "header":
+        return True
+    names = [[w.lower() for w in _name_words(n)] for n in node.attrs.get("class", "").split()]
+    return any(len(n) > 1 and n[-1] == "header" and n[0] in OWN for n in names)
+
+
 def is_other(node: Node, in_article: bool) -> bool:
     """Whether an element is no part of an article by its tag, role, names or being hidden."""
-    if node.tag in OTHER_TAGS and not (in_article and node.tag == "header"):
+    own_header = in_article and is_own_header(node)
+    if node.tag in OTHER_TAGS and not own_header:
         return True
     attrs = node.attrs
     if not attrs or node.tag in ("html", "body"):
@@ -144,26 +176,59 @@ def is_other(node: Node, in_article: bool) -> bool:
         return True
     if "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
-    names = name_words(node)
-    return bool(names) and node.tag not in ("article", "main") and any(n.lower() in OTHER_NAMES for n in names) or (
-        node.tag == "article" and any(n.lower() in ("comment", "reply", "ad", "sponsored", "related") for n in names)
-    )
+    if node.tag == "article":
+        return any(n.lower() in ("comment", "reply", "ad", "sponsored", "related") for n in name_words(node))
+    return node.tag != "main" and not own_header and named_other(node)
+
+
+def landmarks(root: Node) -> set[int]:
+    """Ids of the elements that hold the page's main element with the most text, or without one
+    its largest article: what the page names its article is never cut with something around it."""
+    best: dict[str, tuple[int, list[int]]] = {}
+
+    def visit(node: Node, above: list[int]) -> int:
+        size = 0
+        inside = [*above, id(node)]
+        for child in node.children:
+            size += len("".join(child.split())) if isinstance(child, str) else visit(child, inside)
+        if node.tag in RAW or "hidden" in node.attrs or node.attrs.get("aria-hidden") == "true":
+            return 0
+        if node.tag in ("article", "main") and size and not is_other(node, False) and size > best.get(node.tag, (0, []))[0]:
+            best[node.tag] = size, above
+        return size
+
+    visit(root, [])
+    found = best.get("main") or best.get("article")
+    return set(found[1]) if found else set()
 
 
 def pruned(node: Node, in_article: bool = False) -> Node:
-    """The tree without what is boilerplate by its name; an article's own header keeps its headings."""
+    """The tree without what is boilerplate by its name. Elements around the page's own article
+    stay; an article's own header keeps its headings and what is named or reads like a lead."""
+    return _pruned(node, in_article, landmarks(node))
+
+
+def _pruned(node: Node, in_article: bool, around: set[int]) -> Node:
     inside = in_article or node.tag in ("article", "main")
+    header = in_article and is_own_header(node)
     kept: list[Node | str] = []
     for child in node.children:
         if isinstance(child, str):
-            if not (in_article and node.tag == "header"):
+            if not header:
                 kept.append(child)
-        elif not is_other(child, inside) and not (in_article and node.tag == "header" and not _has_heading(child)):
-            kept.append(pruned(child, inside))
+        elif id(child) in around or not is_other(child, inside) and not (header and not _is_title(child)):
+            kept.append(_pruned(child, inside, around))
     node.children = kept
     return node
 
 
+def _is_title(node: Node) -> bool:
+    """Whether a part of an article's header is its text: a heading, a lead, or a long paragraph."""
+    words = {w.lower() for w in name_words(node)}
+    lead = not words.isdisjoint(LEAD) or (node.tag == "p" and not words and text_size(node) > LEAD_CHARS)
+    return lead or _has_heading(node)
+
+
 def _has_heading(node: Node) -> bool:
     return node.tag in ("h1", "h2", "h3", "h4", "h5", "h6", "hgroup") or any(_has_heading(c) for c in node.elements())
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldloom.llm.stage import whole_text, written
+from fieldloom.llm.stage import boxed, opened, whole_text, written
 
 SALTS = 16
 
@@ -83,6 +83,7 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """
     marked = mark_duplicates(docs.select(key, text), key, text).where("kept")
     staying = marked.select(F.col(key).alias("_key"), F.col("text_sha256").alias("_own")).distinct()
-    rows = docs.withColumn("_sha256", text_digest(whole_text(text)))
-    met = rows.join(staying, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_sha256") == F.col("_own")), "left_semi")
-    return met.dropDuplicates([key, "_sha256"]).drop("_sha256")
+    taken = {"_given": key, "_text": text}
+    rows = boxed(docs, **taken).withColumn("_sha256", text_digest(whole_text("_text")))
+    met = rows.join(staying, F.col("_given").eqNullSafe(F.col("_key")) & (F.col("_sha256") == F.col("_own")), "left_semi")
+    return met.dropDuplicates(["_given", "_sha256"]).select(*opened(docs.columns, **taken))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
+from fieldloom.llm.stage import boxed, opened
+
 # Multiplier of the 64-bit generator that the published jump hash steps with.
 STEP = np.uint64(2862933555777941757)
 # Rows that one task numbers at a time, about, in every shard.
@@ -62,22 +64,22 @@ def shard(
     """
     docs = docs.drop("shard", "grown_shard", "slot")
     blocks = max(16, -(-docs.count() // rows_per_block))
-    rest = [c for c, t in docs.dtypes if c != key and not t.startswith(("map", "variant"))]
-    placed = docs.select(
+    rest = [F.col(f"_rest.`{c}`") for c, t in docs.dtypes if c != key and not t.startswith(("map", "variant"))]
+    placed = boxed(docs, _key=key).select(
         "*",
-        jump_shard(F.col(key), shards).alias("shard"),
-        jump_shard(F.col(key), shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("block")), F.lit(blocks)).cast("int").alias("_block"),
+        jump_shard(F.col("_key"), shards).alias("shard"),
+        jump_shard(F.col("_key"), shards + 1).alias("grown_shard"),
+        F.pmod(F.xxhash64(F.col("_key").cast("string"), F.lit("block")), F.lit(blocks)).cast("int").alias("_block"),
     )
     sizes = placed.groupBy("shard", "_block").agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("shard", "_block", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy("shard", "_block").orderBy(F.col(key), *rest)
+    within = Window.partitionBy("shard", "_block").orderBy(F.col("_key"), *rest)
     return (
         placed.withColumn("_at", F.row_number().over(within))
         .join(starts, ["shard", "_block"])
         .select(
-            *[F.col(c) for c in docs.columns],
+            *opened(docs.columns, _key=key),
             "shard",
             "grown_shard",
             (F.col("_start") + F.col("_at") - 1).cast("long").alias("slot"),

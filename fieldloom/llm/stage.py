@@ -37,3 +37,16 @@ def whole_text(name: str = "text") -> Column:
 def parallel(df: DataFrame) -> int:
     """Partitions for a narrow shuffle, as the session is set."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def boxed(df: DataFrame, **taken: str) -> DataFrame:
+    """The columns ``taken`` under their new names, and all others as the struct ``_rest``: what an
+    operator adds in between meets no name of the caller's."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in taken.values()]
+    return df.select(*[F.col(f"`{c}`").alias(n) for n, c in taken.items()], F.struct(*(rest or [F.lit(0)])).alias("_rest"))
+
+
+def opened(columns: list[str], **taken: str) -> list[Column]:
+    """The columns of a boxed table under their old names and in their old order."""
+    back = {c: n for n, c in taken.items()}
+    return [F.col(back[c] if c in back else f"_rest.`{c}`").alias(c) for c in columns]

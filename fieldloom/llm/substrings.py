@@ -21,7 +21,7 @@ from pyspark.sql.types import LongType, StringType, StructField
 
 from fieldloom.llm.batches import add_columns, column, forget_tables, steps
 from fieldloom.llm.sketch import MAX_BITS, may_repeat, merged_sketch, sketch_bits
-from fieldloom.llm.stage import parallel, whole_text
+from fieldloom.llm.stage import boxed, opened, parallel, whole_text
 from fieldloom.llm.words import Words, runs_of, scan
 
 WINDOW, GRAM = 20, 8
@@ -206,10 +206,12 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     found = repeated_windows(narrow, window, gram)
     lists = found.groupBy("key", "body").agg(F.collect_list(F.struct("at", "mask")).alias("_found"))
     kept = docs.drop("n_words", "n_removed", "kept_text")
+    taken = {"_given": key, "_text": text}
     rows = (
-        kept.withColumns({"_key": place, "_body": body})
-        .join(lists, (F.col("_key") == F.col("key")) & (F.col("_body") == F.col("body")), "left")
-        .select(*[F.col(c) for c in kept.columns], F.col("_found.at").alias("_at"), F.col("_found.mask").alias("_mask"))
+        boxed(kept, **taken)
+        .withColumns({"_key": F.coalesce(F.col("_given").cast("long"), F.lit(NULL_KEY)), "_body": F.xxhash64(whole_text("_text"))})
+        .join(lists.toDF("_of", "_of_body", "_found"), (F.col("_key") == F.col("_of")) & (F.col("_body") == F.col("_of_body")), "left")
+        .select(*taken, "_rest", F.col("_found.at").alias("_at"), F.col("_found.mask").alias("_mask"))
     )
     added = [StructField("n_words", LongType(), False), StructField("n_removed", LongType(), False), StructField("kept_text", StringType(), False)]
     reach = window - gram
@@ -218,7 +220,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         forget_tables()
 
         def act(part: pa.RecordBatch) -> list[pa.Array]:
-            words = scan(column(part, text), False)
+            words = scan(column(part, "_text"), False)
             lists, masks = column(part, "_at"), column(part, "_mask")
             owner = np.repeat(np.arange(part.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
             at = lists.flatten().to_numpy().astype(np.int64) + words.first[owner]
@@ -235,4 +237,4 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
         return act
 
-    return add_columns(rows, text, added, work).drop("_at", "_mask")
+    return add_columns(rows, "_text", added, work).select(*opened(kept.columns, **taken), *[f.name for f in added])

@@ -26,7 +26,7 @@ from pyspark.sql.types import StringType, StructField
 
 from fieldloom.llm import dom
 from fieldloom.llm.batches import add_columns, column, steps, texts
-from fieldloom.llm.stage import written
+from fieldloom.llm.stage import boxed, opened, written
 
 # Pages with a path that make a text on it template, as a share and as a number.
 TEMPLATE_SHARE = 0.8
@@ -340,16 +340,21 @@ def induced(pages: DataFrame, url: str = "url", page: str = "html") -> DataFrame
     return written(known.groupBy("host").applyInPandas(wrap, "host string, wrapper string"))
 
 
-@lru_cache(maxsize=256)
-def _wrappers(text: str) -> tuple[dict[str, str], dict[str, tuple[str, frozenset[int]]]]:
+Wrappers = tuple[dict[str, str], dict[str, tuple[str, frozenset[int]]]]
+
+
+def parsed(text: str | None) -> Wrappers:
+    """Group of each kind of a host, and the wrapper of each group."""
+    if not text:
+        return {}, {}
     held = json.loads(text)
     return held["kinds"], {g: (main, frozenset(fixed)) for g, (main, fixed) in held["wrappers"].items()}
 
 
-def read_page(page: str, wrapper: str | None) -> str:
+def read_page(page: str, wrapper: Wrappers) -> str:
     """Article text of a page by the wrappers of its host."""
     tree = dom.pruned(dom.parse(page))
-    kinds, wrappers = _wrappers(wrapper) if wrapper else ({}, {})
+    kinds, wrappers = wrapper
     group = kinds.get(str(kind(tree)), "0") if kinds else "0"
     return article(page, *wrappers.get(group, ("", frozenset())), tree)
 
@@ -364,15 +369,20 @@ def extract_articles(pages: DataFrame, key: str = "page_id", url: str = "url", p
     their written size, else by a sorted join whose large hosts Spark can split.
     """
     wrappers = induced(pages, url, page)
-    kept = pages.drop(*({name} - {page}))
-    rows = kept.withColumn("_host", host(F.col(url))).join(wrappers, F.col("_host") == F.col("host"), "left")
-    rows = rows.select(*[kept[c] for c in kept.columns], F.col("wrapper").alias("_wrapper"))
+    kept = pages.drop(*({name} - {page, url}))
+    taken = {"_page": page, "_url": url}
+    whole = boxed(kept, **taken).withColumn("_host", host(F.col("_url")))
+    rows = whole.join(wrappers.toDF("_of", "_wrapper"), F.col("_host") == F.col("_of"), "left").drop("_host", "_of")
 
     def work():
+        # Made in the task, as what a module caches cannot be sent to executors.
+        known = lru_cache(maxsize=256)(parsed)
+
         def act(part: pa.RecordBatch) -> list[pa.Array]:
-            values = zip(texts(part, page), column(part, "_wrapper").to_pylist(), strict=True)
-            return [pa.array([read_page(p, w) if p else "" for p, w in values], pa.string())]
+            values = zip(texts(part, "_page"), column(part, "_wrapper").to_pylist(), strict=True)
+            return [pa.array([read_page(p, known(w)) if p else "" for p, w in values], pa.string())]
 
         return act
 
-    return add_columns(rows, page, [StructField(name, StringType(), False)], work).drop("_wrapper")
+    read = add_columns(rows, "_page", [StructField("_article", StringType(), False)], work)
+    return read.select(*[c for c, own in zip(opened(kept.columns, **taken), kept.columns, strict=True) if own != name], F.col("_article").alias(name))

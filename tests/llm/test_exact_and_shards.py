@@ -55,3 +55,26 @@ def test_slots(spark):
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and len(by) == 16
     assert len({r.shard for r in got if r.doc_id is None}) == 1
     assert shards.shard(docs.limit(0)).count() == 0
+
+
+def test_jump_equals_the_plain_walk():
+    def plain(key, shards):
+        at, ahead = -1, 0
+        while ahead < shards:
+            at = ahead
+            key = (key * 2862933555777941757 + 1) % (1 << 64)
+            ahead = int((at + 1) * ((1 << 31) / ((key >> 33) + 1)))
+        return at
+
+    keys = [0, 1, 2, 10, (1 << 64) - 1, *np.random.default_rng(2).integers(0, 1 << 63, 300).tolist()]
+    for n in (1, 2, 3, 16, 17, 1000):
+        with np.errstate(over="ignore"):
+            assert shards.jump(np.array(keys, np.uint64), n).tolist() == [plain(k, n) for k in keys]
+
+
+def test_slots_with_columns_that_clash(spark):
+    names = "_block _rows _start _at _key _rest".split()
+    docs = spark.createDataFrame([(i, *names) for i in range(200)], ", ".join(["doc_id long", *[f"`{c}` string" for c in names]]))
+    got = shards.shard(docs, 4, rows_per_block=20)
+    assert got.columns == [*docs.columns, "shard", "grown_shard", "slot"]
+    assert all([r[c] for c in names] == names for r in got.collect())

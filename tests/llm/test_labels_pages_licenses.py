@@ -145,6 +145,32 @@ def test_text_beside_the_largest_part_stays(spark):
     assert wrappers.article("<main><h1>T</h1><article><p>One</p></article></main>", "", frozenset()) == "T\nOne"
 
 
+def test_layout_names_keep_the_article():
+    body = "<h1>Title</h1><p>One long paragraph of the story.</p><p>Two</p>"
+    whole = "Title\nOne long paragraph of the story.\nTwo"
+    for name in ("container has-sidebar", "no-sidebar", "page-with-menu", "elementor-widget", "hidden-xs-none wrap"):
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div class='post'>{body}</div>"):
+            assert wrappers.article(f"<body><nav>Menu</nav><div class='{name}'>{inner}</div></body>", "", frozenset()) == whole
+    around = "<form action=x><div class='sidebar-layout comments-open'><main>%s</main></div></form><div class='sidebar'>Aside</div>"
+    assert wrappers.article(around % body, "", frozenset()) == whole
+    for header in ("<header class='entry-header'>%s</header>", "<div class='article-header'>%s</div>"):
+        own = header % "<h1>Title</h1><p class='lead'>A lead</p><span class='date'>Today</span>"
+        assert wrappers.article(f"<article>{own}<p>One</p></article>", "", frozenset()) == "Title\nA lead\nOne"
+    # Names of an element itself still count, and a lesser article does not keep what is around it.
+    page = f"<main>{body}<div class='share-buttons'>Share</div></main><div class='related-posts'><article>Other</article></div><div id='comments'><article class='comment'>Me</article></div>"
+    assert wrappers.article(page, "", frozenset()) == whole
+    assert wrappers.article(f"<article>{body}</article><div class='comment-list'><article class='comment'>{'Longer ' * 99}</article></div>", "", frozenset()) == whole
+
+
+def test_columns_that_clash(spark):
+    names = "host wrapper _host _of _page _wrapper _article kind".split()
+    rows = [(i, f"http://a.example/{i}", f"<main><p>Text {i}</p></main>", *names) for i in range(5)]
+    df = spark.createDataFrame(rows, ", ".join(["page_id long, url string, html string", *[f"`{c}` string" for c in names]]))
+    got = wrappers.extract_articles(df)
+    assert got.columns == [*df.columns, "text"]
+    assert all(r.text == f"Text {r.page_id}" and [r[c] for c in names] == names for r in got.collect())
+
+
 def test_constant_paragraphs_after_others_are_template(spark):
     rng = random.Random(5)
     closing = "<p>Subscribe to our daily letter and read more</p><p>All rights are with the house</p></div></div>"

@@ -119,3 +119,13 @@ def test_sketches_merge_and_estimate(spark):
         fingerprints.distinct_shingles(a), fingerprints.containment(b, a), fingerprints.containment(a, b), fingerprints.resemblance(a, b)
     ).first()
     assert abs(n - 2996) < 900 and inside > 0.8 and abs(back - 0.5) < 0.2 and abs(r - 0.5) < 0.15
+
+
+def test_removal_with_columns_that_clash(spark):
+    names = "key body _found _key _body _at _mask _given _rest _text".split()
+    text = " ".join(f"w{i}" for i in range(30))
+    docs = spark.createDataFrame([(i, text, *names) for i in range(3)], ", ".join(["doc_id long, text string", *[f"`{c}` string" for c in names]]))
+    got = substrings.remove_repeats(docs)
+    assert got.columns == [*docs.columns, "n_words", "n_removed", "kept_text"]
+    assert sorted((r.doc_id, r.n_removed) for r in got.collect()) == [(0, 0), (1, 30), (2, 30)]
+    assert all([r[c] for c in names] == names for r in got.collect())

@@ -70,9 +70,26 @@ def test_run_equals_plain_loops(spark, tmp_path):
     assert max(filled.values()) <= 4096 and len(filled) == int(np.ceil(sum(lengths.values()) / 4096))
 
 
+INNER = "score held_out predicted n_words n_removed kept_text _key _rest _text keep_id key body".split()
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_stages_keep_columns_that_clash(spark, tmp_path, name):
+    labels = spark.createDataFrame([(i, 0, int("idiot" in (t or ""))) for i, t in corpus()], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    schema = ", ".join(["doc_id long, text string, n_chars long", *[f"`{c}` string" for c in INNER]])
+    docs = spark.createDataFrame([(i, t, len(t or ""), *[f"own {c} {i}" for c in INNER]) for i, t in corpus()], schema)
+    stage = dict(corpus_pipeline.STAGES)[name]
+    rows = stage(spark, docs, str(tmp_path))
+    if name != "best_fit_packing":
+        assert rows.columns == docs.columns
+        assert all(r[c] == f"own {c} {r.doc_id}" for r in rows.collect() for c in INNER)
+    assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_registered(spark):
     names = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert set(QUERIES) <= set(names) and "pipeline" in names
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
@@ -88,6 +105,9 @@ CONTRACT = {
     "op8": "doc_id piece start length ids_crc32 sequence_id offset",
     "op9": "doc_id license share first_word last_word",
     "op10": "doc_id n_words n_removed kept_sha256",
+    "op11": "lang rank phrase a l r n score",
+    "op12": "doc_id n_a n_b n_groups n_links n_best count_sum groups_sha256",
+    "op13": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
 }
 FOLDER = "/root/testdata/sf0.001"
 
@@ -98,6 +118,12 @@ def test_query_gives_every_row(spark, name):
     found = QUERIES[name](spark, FOLDER)
     op = name.split("_")[0]
     assert found.columns == CONTRACT[op].split()
+    if op == "op11":
+        ranks = {}
+        for r in found.collect():
+            ranks.setdefault(r.lang, []).append(r["rank"])
+        assert all(sorted(v) == list(range(1, len(v) + 1)) for v in ranks.values())
+        return
     key = found.columns[0]
     given = spark.read.parquet(f"{FOLDER}/{'pages' if op == 'op3' else 'documents'}.parquet")
     ids = [r[0] for r in found.select(key).collect()]
