@@ -12,15 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom.llm import exact, jaccard, packing, substrings, toxicity, wordpieces
-from fieldloom.llm.stage import written
+from fieldloom.llm.stage import boxed, opened, written
 
 ORACLE_SQL = None
 
+# Columns the stages work on; a stage carries the others along untouched.
+TAKEN = {"doc_id": "doc_id", "text": "text"}
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that the classifier calls toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
-    return toxicity.toxicity(docs, labels).where("predicted = 0").select(*docs.columns)
+    clean = toxicity.toxicity(boxed(docs, **TAKEN), labels).where("predicted = 0")
+    return clean.select(*opened(docs.columns, **TAKEN))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,17 +36,19 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Of every group of near copies, the document with the least id."""
     groups = jaccard.near_duplicates(docs.select("doc_id", "text"))
     staying = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_key")).distinct()
-    return docs.join(staying, F.col("doc_id").eqNullSafe(F.col("_key")), "left_semi")
+    kept = boxed(docs, **TAKEN).join(staying, F.col("doc_id").eqNullSafe(F.col("_key")), "left_semi")
+    return kept.select(*opened(docs.columns, **TAKEN))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that come earlier; a document that loses none stays as it is."""
-    clean = substrings.remove_repeats(docs)
+    clean = substrings.remove_repeats(boxed(docs, **TAKEN))
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    changed = clean.withColumn("text", text)
+    changed = clean.select("doc_id", text.alias("text"), "_rest", (F.col("n_removed") > 0).alias("_cut"))
+    rows = changed.select(*opened(docs.columns, **TAKEN), "_cut")
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.when(F.col("_cut"), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
