@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom.functions import json as J
 from fieldloom.functions import text as X
 from fieldloom.operators.incremental import latest
-
-# Column and folder that name the file a CSV row came from.
-SOURCE_FILE = "source_file"
+from fieldloom.sources.csv_records import SOURCE_FILE, read_csv_records
 
 
 def with_ordinal(lines: DataFrame, keep) -> DataFrame:
@@ -125,7 +123,7 @@ def csv_kinds(spark: SparkSession, path: str | list[str], fallback: str) -> Data
 
     A file is UTF-8 where all its bytes are valid, else in the named fallback. It is multi-line
     where some line has an odd number of quotes, so that a quoted value goes on behind the line.
-    ``header`` is the first line as it was read. Lines are tested where they are read, so a large
+    ``header`` is the first line in that character set. Lines are tested where they are read, so a large
     file is split over tasks and only one row per file and task is shuffled.
     """
     lines = spark.read.text(path).select(
@@ -134,13 +132,20 @@ def csv_kinds(spark: SparkSession, path: str | list[str], fallback: str) -> Data
         F.monotonically_increasing_id().alias("row"),
         F.is_valid_utf8("value").alias("valid"),
         ((F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).alias("open"),
-        F.when(F.col("_metadata.file_block_start") == 0, F.regexp_replace("value", "^\ufeff", "")).alias("value"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.col("value")).alias("value"),
     )
-    return lines.groupBy("file").agg(
-        F.when(F.bool_and("valid"), "UTF-8").otherwise(fallback).alias("charset"),
+    found = lines.groupBy("file").agg(
+        F.bool_and("valid").alias("valid"),
         F.bool_or("open").alias("multiline"),
         F.min_by("value", F.struct("block", "row")).alias("header"),
     )
+    decoded = F.decode(F.col("header").cast("binary"), fallback)
+    return found.select(
+        "file",
+        F.when(F.col("valid"), "UTF-8").otherwise(fallback).alias("charset"),
+        "multiline",
+        F.when(F.col("valid"), F.regexp_replace("header", "^\ufeff", "")).otherwise(decoded).alias("header"),
+    )
 
 
 def csv_charsets(spark: SparkSession, path: str | list[str], fallback: str) -> DataFrame:
@@ -154,18 +159,22 @@ def read_csv_groups(
     """CSV files with a header: one table per group of files that read alike, with ``source_file``.
 
     Quotes in values are doubled, values may hold commas, quotes and line breaks, and headers may
-    differ between groups. A file is one task only where its values hold line breaks. One row per
-    file reaches the driver, as in any file listing of Spark; contents do not.
+    differ between groups. Files are split over tasks, those with line breaks in values as well;
+    with options of the caller's own the latter are read by Spark, one task each. One row per file
+    reaches the driver, as in any file listing of Spark; contents do not.
     """
     named = {"header": True, "enforceSchema": False, "escape": '"', **options}
     groups: dict[tuple, list[str]] = {}
     for row in csv_kinds(spark, path, fallback).toLocalIterator():
         groups.setdefault((row.charset, row.multiline, row.header), []).append(row.file)
-    read = [
-        spark.read.options(**named).csv(sorted(files), encoding=charset, multiLine=multiline)
-        for (charset, multiline, _), files in sorted(groups.items(), key=lambda g: min(g[1]))
-    ]
-    return [df.select("*", F.col("_metadata.file_name").alias(SOURCE_FILE)) for df in read]
+    read = []
+    for (charset, multiline, header), files in sorted(groups.items(), key=lambda g: min(g[1])):
+        if multiline and not options:
+            read += read_csv_records(spark, sorted(files), charset, header)
+        else:
+            whole = spark.read.options(**named).csv(sorted(files), encoding=charset, multiLine=multiline)
+            read.append(whole.select("*", F.col("_metadata.file_name").alias(SOURCE_FILE)))
+    return read
 
 
 def read_csv_any_charset(

@@ -43,7 +43,14 @@ def write_csv(df: DataFrame, path: str, by: str | None = None, mode: str = "over
     writer = df.withColumnRenamed(first, BOM + first).write.mode(mode)
     if by is not None:
         writer = writer.partitionBy(by)
-    writer.csv(path, header=True, encoding="UTF-8", escape='"')
+    writer.csv(
+        path,
+        header=True,
+        encoding="UTF-8",
+        escape='"',
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
 
 
 def write_json(df: DataFrame, path: str) -> None:
