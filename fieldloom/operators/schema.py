@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom import constants as C
-from fieldloom.session import broadcast_if_small
 
 # A wider table is refused, not cut: raise the limit or the frequency threshold.
 MAX_COLUMNS = 5_000
+# Places the facts of one field are dealt to when they meet their role.
+ROLE_SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -72,10 +73,16 @@ def derive_schema(
     )
 
 
-def label_facts(facts: DataFrame, schema: DataFrame) -> DataFrame:
-    """Long form with the role of each field, for tables too wide to project."""
-    roles = broadcast_if_small(schema.select("field", "role"), "field")
-    return facts.join(roles, "field")
+def label_facts(facts: DataFrame, schema: DataFrame, salts: int = ROLE_SALTS) -> DataFrame:
+    """Long form with the role of each field, for tables too wide to project.
+
+    A field of every record is dealt over ``salts`` places by the task its facts come from, and each
+    role is there ``salts`` times; Spark broadcasts roles instead where their measured size is small.
+    """
+    copies = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    roles = schema.select("field", "role").withColumn("_salt", copies)
+    dealt = facts.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
+    return dealt.join(roles, ["field", "_salt"]).drop("_salt")
 
 
 def collect_columns(schema: DataFrame, limit: int = MAX_COLUMNS) -> list[WideColumn]:

@@ -52,9 +52,9 @@ class Settings:
     content_limit: int = C.MAX_CONTENT_LENGTH
     repair_json: bool = False
     # Prompts of one partition of the scoring job; free task slots bound the concurrent callers.
+    # Every partition's calls are committed as it ends, so a run that is cut short loses at most
+    # those of the tasks it was in.
     prompts_per_task: int = 200
-    # Calls are committed in this many parts, so a run that is cut short loses one part at most.
-    call_parts: int = 8
     attempts: int = 3
     wait_factor: float = 2.0
     wait_range: tuple[float, float] = (1.0, 60.0)
@@ -113,41 +113,39 @@ def _leftover_calls(spark, open_items: DataFrame, base: str, run_id: str, s: Set
 
 
 def _call(spark, items: DataFrame, template, open_scorer, base: str, run_id: str, s: Settings) -> DataFrame:
-    """Call the caller's function for ``items`` and commit the calls part by part."""
+    """Call the caller's function for ``items``; each task commits its own calls."""
     path = f"{base}/calls"
-    for part in range(s.call_parts):
-        own = items.filter(F.pmod(F.xxhash64("url_key"), F.lit(s.call_parts)) == part)
-        scored = scoring.score(
-            own,
-            open_scorer,
-            ["url_key"],
-            template=template,
-            separator=s.separator,
-            system_message=s.system_message,
-            prompts_per_task=s.prompts_per_task,
-            attempts=s.attempts,
-            wait_factor=s.wait_factor,
-            wait_range=s.wait_range,
-        )
-        calls = scored.select(
-            "url_key",
-            F.lit(s.model).alias("model"),
-            "prompt_length",
-            "raw_response",
-            "usage",
-            "attempts",
-            "error",
-            F.length("raw_response").alias("response_length"),
-            F.current_timestamp().alias("written"),
-        )
-        W.append_part(calls, path, run_id, part)
+    scored = scoring.score(
+        items,
+        open_scorer,
+        ["url_key"],
+        template=template,
+        separator=s.separator,
+        system_message=s.system_message,
+        prompts_per_task=s.prompts_per_task,
+        attempts=s.attempts,
+        wait_factor=s.wait_factor,
+        wait_range=s.wait_range,
+    )
+    calls = scored.select(
+        "url_key",
+        F.lit(s.model).alias("model"),
+        "prompt_length",
+        "raw_response",
+        "usage",
+        "attempts",
+        "error",
+        F.length("raw_response").alias("response_length"),
+        F.current_timestamp().alias("written"),
+    )
+    W.append_by_task(calls, path, run_id)
     return spark.read.schema(CALLS).parquet(f"{path}/run_id={run_id}").drop("part")
 
 
 def _replies(spark, texts, template, open_scorer, base: str, run_id: str, s: Settings):
     """``url_key, parsed_response, error``: the stored reply when it holds data, else the stored
-    call of a lost run, else from the caller's function. Calls are committed in parts before they
-    are parsed, so no committed call is made twice."""
+    call of a lost run, else from the caller's function. Calls are committed before they are
+    parsed, so no committed call is made twice."""
     stored = _stored(spark, f"{base}/replies", REPLIES, run_id, s)
     open_items = W.append_run(remaining(texts, stored, ["url_key"]), f"{base}/open", run_id)
     left = _leftover_calls(spark, open_items, base, run_id, s)

@@ -6,7 +6,6 @@ import sys
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 SETTINGS = {
     # A JSON object may repeat a key; the last one counts.
@@ -45,12 +44,6 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def broadcast_if_small(df: DataFrame, text_column: str, limit: int = 32 * 1024 * 1024) -> DataFrame:
-    """Hint a broadcast when the measured size of a narrow table allows it."""
-    size = df.agg(F.sum(F.octet_length(text_column) + 64)).first()[0] or 0
-    return F.broadcast(df) if size <= limit else df
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder the cluster names and continue from there.
 

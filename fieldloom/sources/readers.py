@@ -90,15 +90,15 @@ def unreadable(records: DataFrame) -> DataFrame:
     return records.filter(F.col("record").isNull())
 
 
-def read_result_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Result records from JSON files, unreadable files left out."""
+def result_fields(records: DataFrame, *keep: str) -> DataFrame:
+    """Columns ``keep`` and the fields of result records, unreadable ones left out."""
     record = F.col("record")
 
     def field(name: str, kind: str):
         return F.try_variant_get(record, f"$.{name}", kind).alias(name)
 
-    return readable(read_json_files(spark, path)).select(
-        "file",
+    return readable(records).select(
+        *keep,
         field("url", "string"),
         field("url_id", "string"),
         field("timestamp", "double"),
@@ -108,6 +108,11 @@ def read_result_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
+def read_result_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Result records from JSON files, unreadable files left out."""
+    return result_fields(read_json_files(spark, path), "file")
+
+
 def read_results_with_data(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Result records from JSON files that hold data."""
     return read_result_files(spark, path).filter(J.has_data(F.col("data")))

@@ -20,9 +20,15 @@ def append_run(rows: DataFrame, path: str, run_id: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(folder)
 
 
-def append_part(rows: DataFrame, path: str, run_id: str, part: int) -> None:
-    """Write one part of a run's rows to a stage table; parts written before stay."""
-    rows.write.mode("overwrite").parquet(f"{path}/run_id={run_id}/part={part}")
+def append_by_task(rows: DataFrame, path: str, run_id: str) -> None:
+    """Write a run's rows to a stage table so that every task's rows stay as soon as it ends.
+
+    A task moves its file in place when it commits, under a name that is its own in the job, so a
+    task that is run again replaces its file, and a job that is cut short loses only the tasks that
+    had not ended. Rows written before stay.
+    """
+    by_task = rows.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    by_task.parquet(f"{path}/run_id={run_id}/part=0")
 
 
 def earlier_runs(spark: SparkSession, path: str, schema: str, run_id: str) -> DataFrame:

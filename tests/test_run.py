@@ -1,5 +1,6 @@
 import json
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -211,17 +212,26 @@ def test_a_run_that_fails_midway_keeps_its_calls(spark, site, tmp_path):
     }
     made, opener = calls.path, calls.opener()
 
-    def failing():
-        if os.path.exists(made) and os.path.getsize(made) >= 4:
-            raise RuntimeError("lost")
-        return opener()
+    def dying():
+        score = opener()
 
-    settings = Settings(attempts=1, call_parts=4, prompts_per_task=3)
-    with pytest.raises(Exception, match="lost"):
-        run(spark, open_scorer=failing, settings=settings, run_id="r1", **given)
+        def call(system, prompt):
+            if "w005" in prompt:
+                # By then the other tasks have had time to end; this one takes its executor along.
+                while not os.path.exists(made) or os.path.getsize(made) < 6:
+                    time.sleep(0.1)
+                time.sleep(5)
+                os._exit(1)
+            return score(system, prompt)
+
+        return call
+
+    settings = Settings(attempts=1, prompts_per_task=1)
+    with pytest.raises(Exception, match="crashed"):
+        run(spark, open_scorer=dying, settings=settings, run_id="r1", **given)
     stored = spark.read.schema("url_key string").parquet(f"{given['base']}/calls/run_id=r1").count()
     before = calls.count()
-    assert 0 < stored <= before < 12
+    assert 6 <= stored <= before < 12
     report = run(spark, open_scorer=opener, settings=settings, run_id="r2", **given).first()
     assert report.successful == 12 and calls.count() == before + 12 - stored
 
