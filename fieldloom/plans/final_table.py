@@ -36,13 +36,19 @@ def build_final_table(
     misc_limit: int = C.MAX_MISC_ITEMS,
     strict_compat: bool = False,
     max_columns: int = MAX_COLUMNS,
+    stage: str | None = None,
 ) -> FinalTable:
     """Flatten, profile, derive the schema and project results (``url_id, url, data``, order).
 
-    More than ``max_columns`` standard fields are an error; the results themselves stay as written.
+    With ``stage``, the flat records are written there once and everything reads them back; without,
+    each use flattens the results again. More than ``max_columns`` standard fields are an error; the
+    flat records stay as written.
     """
-    configure(results.sparkSession)
+    spark = configure(results.sparkSession)
     records = flatten_results(results).select(order, "fields")
+    if stage is not None:
+        W.write_table(records, stage)
+        records = spark.read.schema(records.schema).parquet(stage)
     profile = cut_lineage(profile_fields(records, order))
     schema = derive_schema(profile, threshold, strict_compat)
     columns = collect_columns(schema, max_columns)
@@ -58,15 +64,16 @@ def profile_as_json(profile: DataFrame) -> DataFrame:
 def save_final_table(results: DataFrame, output: str, order: str = "ordinal", **options) -> bool:
     """Write the table and its exports under ``output``; false when no result holds data.
 
-    The wide table is written once and every export reads it back. The stamped folder is kept,
+    Flat records and the wide table are written once, beside each other, and all else reads them
+    back. The stamped folder is kept,
     ``latest`` is replaced by each run.
     """
     spark = configure(results.sparkSession)
-    built = build_final_table(results, order, **options)
-    if built.profile.isEmpty():
-        return False
     stamp = spark.range(1).select(X.run_stamp().alias("s")).first()["s"]
     folder, latest = f"{output}/{stamp}", f"{output}/latest"
+    built = build_final_table(results, order, stage=f"{folder}/tables/records", **options)
+    if built.profile.isEmpty():
+        return False
 
     W.write_table(built.profile, f"{folder}/tables/field_analysis")
     profile = spark.read.parquet(f"{folder}/tables/field_analysis")

@@ -10,7 +10,7 @@ from fieldloom.functions import json as J
 from fieldloom.operators import profile as profile_ops
 from fieldloom.operators.flatten import field_facts, flatten_results
 from fieldloom.operators.profile import distinct_fields, field_coverage, profile_fields
-from fieldloom.operators.schema import collect_columns, derive_schema
+from fieldloom.operators.schema import WideColumn, collect_columns, derive_schema
 from fieldloom.operators.unify import unify, unify_objects
 from fieldloom.plans.final_table import build_final_table
 
@@ -258,3 +258,22 @@ def test_projection_plan_has_no_shuffle(spark):
     plan = unify(spark.createDataFrame([], records.schema), columns)
     text = plan._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in text
+
+
+def test_wide_columns_of_any_name(spark):
+    names = ["a", "A", "b c", "d`e", "x.y", "f"]
+    records = records_of(spark, [{n: [i, "t"] if n == "f" else i for i, n in enumerate(names)}, {}])
+    columns = [WideColumn(n, "bigint" if n in "aA" else "double" if n == "x.y" else "string") for n in names]
+    found = [tuple(r)[:-1] for r in unify(records, columns).collect()]
+    assert sorted(found, key=str) == [(0, 1, "2", "3", 4.0, "5, t"), (None,) * 6]
+
+
+def test_width_is_no_square(spark):
+    """The projection looks no column up by name: the plan has one read of the record's entries."""
+    columns = [WideColumn(f"f{i}", "string") for i in range(2000)]
+    records = records_of(spark, [{f"f{i}": i for i in range(0, 2000, 2)}])
+    wide = unify(records, columns)
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get") <= 2 and "try_element_at" not in plan
+    row = wide.first()
+    assert [row.f0, row.f1, row.f1998, row[C.MISC_COLUMN]] == ["0", None, "1998", None]
