@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fieldloom.llm.stage import SPACES, whole_text, written
+from fieldloom.llm.stage import SPACES, whole_text
 
 K = 128
 SHINGLE = 5
-# Consecutive keys that share a group while each row looks for its next, and groups in a span.
-KEYS_PER_GROUP = 1024
-GROUPS_PER_SPAN = 4096
+# Rows that share a group while each looks for its next, unless that makes more groups than this.
+ROWS_PER_GROUP = 1024
+MOST_GROUPS = 1 << 16
 NULL_KEY = -(1 << 63)
 
 
@@ -105,47 +105,60 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "sketch", k: i
     )
 
 
-def group_heads(keys: DataFrame) -> DataFrame:
-    """``_key, _for``: the row with ``_key`` is the next one, downwards, after group ``_for`` ends.
+def place_of(key: Column, text: Column) -> Column:
+    """Text that sorts like ``(key, hash of the text)``: 16 hexadecimal digits each, null keys least."""
 
-    Groups are ranges of keys, spans ranges of groups; the next group is found inside the span
-    or, for a span's last, as the first of the next span. Only the spans, a row per four million
-    keys, are ordered as one.
+    def digits(number: Column) -> Column:
+        return F.lpad(F.hex(number.bitwiseXOR(F.lit(NULL_KEY))), 16, "0")
+
+    return F.concat(digits(F.coalesce(key.cast("long"), F.lit(NULL_KEY))), digits(F.xxhash64(text)))
+
+
+def group_firsts(places: DataFrame, rows: int, least: int = ROWS_PER_GROUP, most: int = MOST_GROUPS) -> list[str]:
+    """The first place of every group, downwards.
+
+    Places are sorted in ranges that Spark cuts at sampled bounds, so keys may lie anyhow. Groups have
+    at least ``least`` rows beside the last of a range, and so many more that about ``most`` do for
+    the table; as many short texts reach the driver.
     """
-    group = F.floor(F.col("_key") / KEYS_PER_GROUP).cast("long")
-    span = F.floor(F.col("_group") / GROUPS_PER_SPAN).cast("long")
-    heads = written(keys.groupBy(group.alias("_group")).agg(F.max("_key").alias("_key")).withColumn("_span", span))
-    down = Window.orderBy(F.desc("_span"))
-    spans = heads.groupBy("_span").agg(F.max("_key").alias("_top")).withColumns(
-        {"_below": F.lead("_top").over(down), "_highest": F.max("_top").over(Window.partitionBy())}
-    )
-    inside = Window.partitionBy("_span").orderBy(F.desc("_group"))
-    return written(
-        heads.withColumn("_next", F.lead("_key").over(inside))
-        .join(spans, "_span")
-        .select(F.coalesce("_next", "_below", "_highest").alias("_key"), F.col("_group").alias("_for"))
-    )
+    size = max(least, -(-rows // most))
+    ranges = places.repartitionByRange(F.desc("_place")).withColumn("_range", F.spark_partition_id())
+    down = Window.partitionBy("_range").orderBy(F.desc("_place"))
+    firsts = ranges.withColumn("_rank", F.row_number().over(down)).where((F.col("_rank") - 1) % size == 0)
+    return sorted({row["_place"] for row in firsts.select("_place").collect()}, reverse=True)
+
+
+def group_at(place: Column, firsts: list[str]) -> Column:
+    """Number of the group that holds a place, by halving a constant list."""
+    bounds = F.split(F.lit(",".join(firsts)), ",")
+    steps = [1 << k for k in reversed(range(len(firsts).bit_length()))]
+
+    def halve(at: Column, step: Column) -> Column:
+        further = (at + step <= len(firsts)) & (F.get(bounds, at + step - 1) >= place)
+        return F.when(further, at + step).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(step) for step in steps]), F.lit(0), halve) - 1
 
 
 def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, n: int = SHINGLE) -> DataFrame:
     """``docs(key, text)`` with ``sketch``, ``next_text`` and ``next_sketch`` of the next row down the keys.
 
-    After the least key comes the largest; a lone row is its own next. Keys are integers; null
-    comes after all others, and rows with one key follow each other in any fixed order. Texts are
-    shuffled once: by group, together with a copy of the row that follows each group.
+    After the least key comes the largest; a lone row is its own next. Keys are integers, spread as
+    they may be; null comes after all others, and rows with one key follow each other in a fixed order
+    of their texts. Rows fall into groups that follow each other down the keys. Texts are shuffled
+    once: by group, together with a copy of the first row of the group after. Only rows equal in key
+    and text cannot be parted.
     """
-    rows = docs.select(F.col(key), F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("_key"), whole_text(text).alias(text))
-    # A row per group; Spark broadcasts it where its measured size allows and shuffles it where not.
-    heads = group_heads(rows.select("_key"))
-    own = F.floor(F.col("_key") / KEYS_PER_GROUP).cast("long")
-    following = heads.groupBy("_key").agg(F.collect_set("_for").alias("_for"))
-    places = F.concat(
-        F.array(F.struct(own.alias("group"), F.lit(0).alias("copy"))),
-        F.transform(F.coalesce("_for", F.array().cast("array<bigint>")), lambda g: F.struct(g.alias("group"), F.lit(1).alias("copy"))),
-    )
-    dealt = rows.join(following, "_key", "left").select(key, "_key", text, F.explode(places).alias("_at"))
-    dealt = dealt.select(key, "_key", text, F.col("_at.group").alias("_group"), F.col("_at.copy").alias("_copy"))
-    order = Window.partitionBy("_group").orderBy("_copy", F.desc("_key"), F.xxhash64(text))
+    rows = docs.select(F.col(key), whole_text(text).alias(text)).withColumn("_place", place_of(F.col(key), F.col(text)))
+    firsts = group_firsts(rows.select("_place"), docs.count()) or [""]
+    placed = rows.withColumn("_own", group_at(F.col("_place"), firsts))
+    before = F.pmod(F.col("_own") - 1, F.lit(len(firsts)))
+    is_first = F.get(F.split(F.lit(",".join(firsts)), ","), F.col("_own")) == F.col("_place")
+    own = F.struct(F.col("_own").alias("group"), F.lit(0).alias("copy"))
+    places = F.when(is_first, F.array(own, F.struct(before.alias("group"), F.lit(1).alias("copy")))).otherwise(F.array(own))
+    dealt = placed.select(key, "_place", text, F.explode(places).alias("_at"))
+    dealt = dealt.select(key, "_place", text, F.col("_at.group").alias("_group"), F.col("_at.copy").alias("_copy"))
+    order = Window.partitionBy("_group").orderBy("_copy", F.desc("_place"))
     sketched = fingerprints(dealt.repartition("_group"), text, "sketch", k, n)
     return (
         sketched.withColumns({"next_text": F.lead(text).over(order), "next_sketch": F.lead("sketch").over(order)})

@@ -5,13 +5,15 @@ any and are passed over where they arise. The others fall into overlapping windo
 templates of a size class, so a template lies whole inside one. Per window, MinHash bands retrieve
 templates, and the exact share of a template's shingles in the window decides.
 
-Bands have one row each: a window that holds a share of 0.75 of a template, beside as many
-shingles of other templates, still has a similarity of 0.43, and ``BANDS`` independent chances to
-collide miss it with a probability of 0.57 ** 40, below one in a billion.
+Bands have one row each, so a window and a template collide in one with a probability of their
+similarity. The least similarity of a find is that of a window that holds just the share asked for
+and only other templates' shingles beside it; a size class has as many bands as miss its worst
+template with a probability below ``MISS`` (``bands_of``).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 from pathlib import Path
 
@@ -23,9 +25,9 @@ from fieldloom.llm.stage import written
 
 SHINGLE = 5
 LEAST_SHARE = 0.75
-BANDS = 40
-# Size classes: the most shingles a template of the class has.
-CLASSES = (8, 32, 128, 512)
+NO_LITERAL = -(1 << 63)  # cannot be written as a negated number
+# The probability with which bands may miss a find.
+MISS = 1e-9
 
 # License statements, openings of notices, and whole notices and short licenses.
 TEMPLATES = {
@@ -203,18 +205,35 @@ def hashed_shingles(df: DataFrame, text: str, name: str, n: int = SHINGLE) -> Da
     return hashed.withColumn(name, shingle_hashes(F.col("_words"), n)).drop("_words")
 
 
+def size_class(size: int) -> int:
+    """The least power of two that is not below a template's number of shingles."""
+    return 1 << (size - 1).bit_length()
+
+
+def least_similarity(size: int, share: float = LEAST_SHARE) -> float:
+    """Similarity of a template and the worst window of its class, two class sizes long, that still
+    holds the share of it."""
+    held = math.ceil(share * size)
+    return held / (size + max(2 * size_class(size) - held, 0))
+
+
+def bands_of(sizes: list[int], share: float = LEAST_SHARE, miss: float = MISS) -> int:
+    """Bands that miss the worst of these templates with a probability of at most ``miss``."""
+    worst = min(least_similarity(size, share) for size in sizes)
+    return 1 if worst >= 1 else math.ceil(math.log(miss) / math.log1p(-worst))
+
+
 def template_table(spark: SparkSession, templates: Mapping[str, str]) -> DataFrame:
-    """``license, shingles, span``: a row per template; span is the size of its class."""
+    """``license, shingles``: a row per template that has words."""
     rows = spark.createDataFrame(list(templates.items()), "license string, text string")
     hashed = hashed_shingles(rows, "text", "all").withColumn("shingles", F.array_distinct("all"))
-    span = F.coalesce(*[F.when(F.size("shingles") <= c, F.lit(c)) for c in CLASSES], F.size("shingles"))
-    return hashed.select("license", "shingles", span.alias("span")).where(F.size("shingles") > 0)
+    return hashed.select("license", "shingles").where(F.size("shingles") > 0)
 
 
-def band_values(shingles: Column, bands: int) -> Column:
+def band_values(shingles: Column, bands: Column) -> Column:
     """MinHash of a set of shingles in every band."""
     return F.transform(
-        F.sequence(F.lit(1), F.lit(bands)),
+        F.sequence(F.lit(1), bands),
         lambda b: F.struct(b.alias("band"), F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b))).alias("value")),
     )
 
@@ -225,7 +244,7 @@ def scan_licenses(
     key: str = "doc_id",
     text: str = "text",
     least_share: float = LEAST_SHARE,
-    bands: int = BANDS,
+    miss: float = MISS,
     decide: bool = False,
 ) -> DataFrame:
     """``key, license, share, first_word, last_word`` of every template found in a whole text.
@@ -246,11 +265,17 @@ def scan_licenses(
     # Collected to become constants of the plan: a few shingles for each template given.
     known = template_table(spark, templates).collect()
     vocabulary = sorted({s for row in known for s in row["shingles"]})
-    spans = sorted({row["span"] for row in known})
+    classes = {}
+    for row in known:
+        classes.setdefault(size_class(len(row["shingles"])), []).append(len(row["shingles"]))
+    spans = sorted(classes)
+    bands = {span: bands_of(sizes, least_share, miss) for span, sizes in classes.items()}
     found = docs.select(F.col(key), F.xxhash64(text).alias("_body"), F.col(text).alias("_text"))
     found = hashed_shingles(found, "_text", "_all").drop("_text")
-    placed = F.transform("_all", lambda s, i: F.struct(s.alias("s"), i.alias("at")))
-    hits = F.filter(placed, lambda x: x["s"].isin(vocabulary))
+    found = found.withColumn("_placed", F.transform("_all", lambda s, i: F.struct(s.alias("s"), i.alias("at"))))
+    # Written as text: a call for each of many thousand constants would take the driver's time.
+    listed = ", ".join(f"{s}L" if s > NO_LITERAL else "bigint('-9223372036854775808')" for s in vocabulary)
+    hits = F.expr(f"filter(_placed, x -> x.s in ({listed or 'null'}))")
     # The row number keeps the condition above the projection, which would be computed for both.
     found = found.select(key, "_body", hits.alias("_hits"), F.monotonically_increasing_id().alias("_row"))
     # Few rows are left, and each is used several times from here on.
@@ -259,27 +284,35 @@ def scan_licenses(
     def windows(span: int) -> Column:
         at = F.transform("_hits", lambda x: F.floor(x["at"] / span).cast("int"))
         both = F.flatten(F.transform(at, lambda w: F.array(w, F.greatest(w - 1, F.lit(0)))))
-        return F.transform(F.array_distinct(both), lambda w: F.struct(F.lit(span).alias("span"), w.alias("window")))
+        return F.transform(F.array_distinct(both), lambda w: F.struct(F.lit(span).alias("span"), F.lit(bands[span]).alias("bands"), w.alias("window")))
 
-    every = F.concat(*[windows(span) for span in spans]) if spans else F.expr("cast(array() as array<struct<span:int,window:int>>)")
-    cut = found.withColumn("_w", F.explode(every)).select(key, "_body", "_w.span", "_w.window", "_hits")
+    every = F.concat(*[windows(span) for span in spans]) if spans else F.expr("cast(array() as array<struct<span:int,bands:int,window:int>>)")
+    cut = found.withColumn("_w", F.explode(every)).select(key, "_body", "_w.span", "_w.bands", "_w.window", "_hits")
     inside = F.filter("_hits", lambda x: F.floor(x["at"] / F.col("span")).between(F.col("window"), F.col("window") + 1))
     cut = cut.withColumn("_hits", inside)
-    banded = cut.withColumn("_b", F.explode(band_values(F.transform("_hits", lambda x: x["s"]), bands)))
-    asked = template_table(spark, templates).withColumn("_b", F.explode(band_values(F.col("shingles"), bands)))
-    asked = asked.select("license", "shingles", F.col("span").alias("_span"), F.col("_b.band").alias("_band"), F.col("_b.value").alias("_value"))
+    banded = cut.withColumn("_values", band_values(F.transform("_hits", lambda x: x["s"]), F.col("bands")))
+    banded = banded.withColumn("_b", F.explode("_values"))
+    sized = [(row["license"], row["shingles"], size_class(len(row["shingles"]))) for row in known]
+    sets = spark.createDataFrame([(*row, bands[row[2]]) for row in sized], "license string, shingles array<long>, _span int, _bands int")
+    sets = sets.withColumn("_asked", band_values(F.col("shingles"), F.col("_bands")))
+    asked = sets.select("license", "_span", "_asked", F.explode("_asked").alias("_a"))
+    # Of the bands in which a window and a template meet, the first hands the pair on.
+    equal = F.zip_with("_values", "_asked", lambda one, other: one["value"] == other["value"])
     met = (
         banded.join(
             F.broadcast(asked),
-            (F.col("span") == F.col("_span")) & (F.col("_b.band") == F.col("_band")) & (F.col("_b.value") == F.col("_value")),
+            (F.col("span") == F.col("_span")) & (F.col("_b.band") == F.col("_a.band")) & (F.col("_b.value") == F.col("_a.value")),
         )
-        .select(key, "_body", "license", "shingles", "window", "_hits")
+        .where(F.array_position(equal, True) == F.col("_b.band"))
+        .select(key, "_body", "license", "window", "_hits")
+        .join(F.broadcast(sets.select("license", "shingles")), "license")
     )
+    held = F.size(F.array_intersect(F.transform("_hits", lambda x: x["s"]), "shingles"))
     own = F.filter("_hits", lambda x: F.array_contains(F.col("shingles"), x["s"]))
     sure = (
-        met.withColumn("_own", own)
-        .withColumn("share", F.size(F.array_distinct(F.transform("_own", lambda x: x["s"]))) / F.size("shingles"))
+        met.withColumn("share", held / F.size("shingles"))
         .where(F.col("share") >= least_share)
+        .withColumn("_own", own)
         .select(
             key,
             "_body",

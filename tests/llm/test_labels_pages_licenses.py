@@ -248,3 +248,12 @@ def test_deciding_clauses_and_whole_texts(make_docs):
     for i, name in enumerate(names):
         assert name in got[i] and (i > 8 or got[i] == {name}), (name, got[i])
     assert got[100] == {"BSD notice"} and got[101] >= {"BSD-3-Clause", "BSD-2-Clause"}
+
+
+def test_bands_keep_their_bound():
+    """Every size up to 6,000: a window with the least share of it and only others' shingles beside."""
+    for size in [*range(1, 300), 1000, 1024, 1025, 6000]:
+        similarity = licenses.least_similarity(size)
+        held = -(-3 * size // 4)
+        assert similarity <= held / (2 * licenses.size_class(size) + size - held) + 1e-12
+        assert (1 - similarity) ** licenses.bands_of([size]) <= 1e-9

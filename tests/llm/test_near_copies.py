@@ -129,3 +129,21 @@ def test_removal_with_columns_that_clash(spark):
     assert got.columns == [*docs.columns, "n_words", "n_removed", "kept_text"]
     assert sorted((r.doc_id, r.n_removed) for r in got.collect()) == [(0, 0), (1, 30), (2, 30)]
     assert all([r[c] for c in names] == names for r in got.collect())
+
+
+def test_next_rows_of_sparse_keys(spark, monkeypatch):
+    """Hashed 64-bit keys fall into even groups; null keys and repeated ones are parted by text."""
+    monkeypatch.setattr(fingerprints, "MOST_GROUPS", 40)
+    monkeypatch.setattr(fingerprints.group_firsts, "__defaults__", (16, 40))
+    docs = spark.range(4000).select(
+        F.when(F.col("id") % 3 > 0, F.xxhash64("id")).alias("doc_id"), F.concat(F.lit("t"), "id").alias("text")
+    )
+    rows = docs.withColumn("_place", fingerprints.place_of(F.col("doc_id"), F.col("text")))
+    firsts = fingerprints.group_firsts(rows.select("_place"), 4000)
+    sizes = rows.groupBy(fingerprints.group_at(F.col("_place"), firsts).alias("g")).count().collect()
+    assert len(sizes) >= 40 and max(r["count"] for r in sizes) <= 100 and min(r.g for r in sizes) == 0
+    found = {r.text: r.next_text for r in fingerprints.with_next(docs).collect()}
+    order = [r.text for r in rows.orderBy(F.desc("_place")).collect()]
+    assert found == dict(zip(order, order[1:] + order[:1], strict=True))
+    keys = [r.doc_id for r in rows.orderBy(F.desc("_place")).collect() if r.doc_id is not None]
+    assert keys == sorted(keys, reverse=True)
