@@ -14,7 +14,7 @@ template with a probability below ``MISS`` (``bands_of``).
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -238,6 +238,15 @@ def band_values(shingles: Column, bands: Column) -> Column:
     )
 
 
+def among(placed: str, shingles: Iterable[int]) -> Column:
+    """The placed shingles that are of a list.
+
+    Written as text: a call for each of many thousand constants would take the driver's time.
+    """
+    listed = ", ".join(f"{s}L" if s > NO_LITERAL else f"bigint('{s}')" for s in sorted(shingles))
+    return F.expr(f"filter({placed}, x -> x.s in ({listed or 'null'}))")
+
+
 def scan_licenses(
     docs: DataFrame,
     templates: Mapping[str, str] = TEMPLATES,
@@ -265,31 +274,33 @@ def scan_licenses(
     # Collected to become constants of the plan: a few shingles for each template given.
     known = template_table(spark, templates).collect()
     vocabulary = sorted({s for row in known for s in row["shingles"]})
-    classes = {}
+    classes, members = {}, {}
     for row in known:
-        classes.setdefault(size_class(len(row["shingles"])), []).append(len(row["shingles"]))
+        span = size_class(len(row["shingles"]))
+        classes.setdefault(span, []).append(len(row["shingles"]))
+        members.setdefault(span, set()).update(row["shingles"])
     spans = sorted(classes)
     bands = {span: bands_of(sizes, least_share, miss) for span, sizes in classes.items()}
     found = docs.select(F.col(key), F.xxhash64(text).alias("_body"), F.col(text).alias("_text"))
     found = hashed_shingles(found, "_text", "_all").drop("_text")
     found = found.withColumn("_placed", F.transform("_all", lambda s, i: F.struct(s.alias("s"), i.alias("at"))))
-    # Written as text: a call for each of many thousand constants would take the driver's time.
-    listed = ", ".join(f"{s}L" if s > NO_LITERAL else "bigint('-9223372036854775808')" for s in vocabulary)
-    hits = F.expr(f"filter(_placed, x -> x.s in ({listed or 'null'}))")
     # The row number keeps the condition above the projection, which would be computed for both.
-    found = found.select(key, "_body", hits.alias("_hits"), F.monotonically_increasing_id().alias("_row"))
+    found = found.select(key, "_body", among("_placed", vocabulary).alias("_hits"), F.monotonically_increasing_id().alias("_row"))
     # Few rows are left, and each is used several times from here on.
     found = written(found.where(F.size("_hits") > 0).drop("_row"))
 
-    def windows(span: int) -> Column:
-        at = F.transform("_hits", lambda x: F.floor(x["at"] / span).cast("int"))
-        both = F.flatten(F.transform(at, lambda w: F.array(w, F.greatest(w - 1, F.lit(0)))))
-        return F.transform(F.array_distinct(both), lambda w: F.struct(F.lit(span).alias("span"), F.lit(bands[span]).alias("bands"), w.alias("window")))
-
-    every = F.concat(*[windows(span) for span in spans]) if spans else F.expr("cast(array() as array<struct<span:int,bands:int,window:int>>)")
-    cut = found.withColumn("_w", F.explode(every)).select(key, "_body", "_w.span", "_w.bands", "_w.window", "_hits")
-    inside = F.filter("_hits", lambda x: F.floor(x["at"] / F.col("span")).between(F.col("window"), F.col("window") + 1))
-    cut = cut.withColumn("_hits", inside)
+    # A class sees the shingles of its own templates only, so small ones have few windows in long texts.
+    of_class = [
+        F.struct(F.lit(span).alias("span"), F.lit(bands[span]).alias("bands"), among("_hits", members[span]).alias("hits"))
+        for span in spans
+    ]
+    every = F.array(*of_class) if spans else F.expr("cast(array() as array<struct<span:int,bands:int,hits:array<struct<s:bigint,at:int>>>>)")
+    cut = found.select(key, "_body", F.inline(every)).where(F.size("hits") > 0)
+    at = F.transform("hits", lambda x: F.floor(x["at"] / F.col("span")).cast("int"))
+    both = F.flatten(F.transform(at, lambda w: F.array(w, F.greatest(w - 1, F.lit(0)))))
+    cut = cut.withColumn("window", F.explode(F.array_distinct(both)))
+    inside = F.filter("hits", lambda x: F.floor(x["at"] / F.col("span")).between(F.col("window"), F.col("window") + 1))
+    cut = cut.select(key, "_body", "span", "bands", "window", inside.alias("_hits"))
     banded = cut.withColumn("_values", band_values(F.transform("_hits", lambda x: x["s"]), F.col("bands")))
     banded = banded.withColumn("_b", F.explode("_values"))
     sized = [(row["license"], row["shingles"], size_class(len(row["shingles"]))) for row in known]
