@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom import constants as C
 from fieldloom.functions import html as P
 from fieldloom.functions import text as X
-from fieldloom.operators.incremental import first_per_key
+from fieldloom.operators.incremental import rows_of_first
 
 
 def extract_content(pages: DataFrame, limit: int = C.MAX_CONTENT_LENGTH) -> DataFrame:
@@ -40,6 +40,9 @@ def strategy_summary(strategies: DataFrame) -> DataFrame:
 
 
 def largest_block(blocks: DataFrame, keys: list[str], text: str, order: str) -> DataFrame:
-    """Row with the longest stripped text per key, the first in order on equal length."""
-    sized = blocks.withColumn("_size", F.length(X.strip(F.col(text))))
-    return first_per_key(sized, keys, F.desc("_size"), F.asc(order)).drop("_size")
+    """Row with the longest stripped text per key, the first in order on equal length.
+
+    ``order`` tells the blocks of a key apart. Sizes are ranked without the texts.
+    """
+    narrow = {"_at": F.col(order), "_size": F.length(X.strip(F.col(text)))}
+    return rows_of_first(blocks, keys, narrow, F.desc("_size"), F.asc("_at"))

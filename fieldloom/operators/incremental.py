@@ -16,6 +16,21 @@ def first_per_key(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame
     return rows.withColumn("_rank", F.row_number().over(ranked)).filter("_rank = 1").drop("_rank")
 
 
+def rows_of_first(rows: DataFrame, keys: list[str], narrow: dict[str, Column], *order: Column) -> DataFrame:
+    """Whole first rows per key, for rows with long columns.
+
+    Only the keys and the ``narrow`` columns, which tell the rows of a key apart and give their
+    order, are ranked; the rows they belong to are then read again by a join that needs no sort where
+    the winners' measured size lets Spark broadcast them. Null keys are a key like others.
+    """
+    marked = rows.withColumns(narrow)
+    first = first_per_key(marked.select(*keys, *narrow), keys, *order)
+    names = {c: f"_first_{i}" for i, c in enumerate([*keys, *narrow])}
+    first = first.select(*[F.col(c).alias(n) for c, n in names.items()])
+    same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+    return marked.join(first, same, "left_semi").select(*rows.columns)
+
+
 def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """Last row per key in the given order."""
     return first_per_key(rows, keys, *[F.desc(c) for c in order])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldloom import constants as C
 from fieldloom.functions import json as J
 from fieldloom.operators import profile as profile_ops
+from fieldloom.operators.content import largest_block
 from fieldloom.operators.flatten import field_facts, flatten_results
 from fieldloom.operators.profile import distinct_fields, field_coverage, profile_fields
 from fieldloom.operators.schema import WideColumn, collect_columns, derive_schema
@@ -277,3 +278,15 @@ def test_width_is_no_square(spark):
     assert plan.count("try_variant_get") <= 2 and "try_element_at" not in plan
     row = wide.first()
     assert [row.f0, row.f1, row.f1998, row[C.MISC_COLUMN]] == ["0", None, "1998", None]
+
+
+def test_largest_block_sorts_no_text(spark):
+    rows = [("a", 1, " xx "), ("a", 2, "yyy"), ("a", 3, "zzz"), (None, 4, "q"), (None, 5, None), ("b", 6, None)]
+    blocks = spark.createDataFrame(rows, "k string, at int, body string")
+    best = largest_block(blocks, ["k"], "body", "at")
+    assert sorted((r.k or "", r["at"]) for r in best.collect()) == [("", 4), ("a", 2), ("b", 6)]
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert best.columns == ["k", "at", "body"] and plan.count("Window [") == 1
+    ranked = plan[plan.index("Window [") :]
+    assert "body" not in ranked.split("\n")[0]
+    assert blocks.limit(0).transform(lambda d: largest_block(d, ["k"], "body", "at")).count() == 0
