@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldloom import constants as C
+from fieldloom.functions import json as J
 from fieldloom.functions import text as X
 from fieldloom.operators.flatten import flatten_results
 from fieldloom.operators.profile import profile_fields
@@ -71,9 +72,9 @@ def save_final_table(results: DataFrame, output: str, order: str = "ordinal", **
     spark = configure(results.sparkSession)
     stamp = spark.range(1).select(X.run_stamp().alias("s")).first()["s"]
     folder, latest = f"{output}/{stamp}", f"{output}/latest"
-    built = build_final_table(results, order, stage=f"{folder}/tables/records", **options)
-    if built.profile.isEmpty():
+    if results.filter(J.has_data(F.col("data"))).isEmpty():  # stops at the first record with data
         return False
+    built = build_final_table(results, order, stage=f"{folder}/tables/records", **options)
 
     W.write_table(built.profile, f"{folder}/tables/field_analysis")
     profile = spark.read.parquet(f"{folder}/tables/field_analysis")
