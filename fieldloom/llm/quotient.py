@@ -19,7 +19,7 @@ from fieldloom.llm.batches import forget_tables
 from fieldloom.llm.words import _M1, _M2, mix
 
 # n-grams a task gathers before it sends filters of them.
-FILTER_GRAMS = 1_000_000
+FILTER_GRAMS = 500_000
 # n-grams of the whole input per shard, so that one shard's merged filter fits a task.
 SHARD_GRAMS = 1_000_000
 LEAST_SHARD_BITS, MOST_SHARD_BITS = 8, 24
@@ -153,6 +153,7 @@ def count_grams(
 
     def part(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         ids = [np.concatenate(place) for place in zip(*held, strict=True)]
+        held.clear()  # each n-gram is held once from here on
         spread, rest, counts = combine(permute(ids), ids[1:], None)
         of = spread >> np.uint64(64 - bits)
         edges = np.searchsorted(of, np.arange((1 << bits) + 1, dtype=np.uint64)) if bits < 16 else None
