@@ -4,18 +4,20 @@
    pass a check (base spans), and a looser pattern per kind with other signs in the place of the
    plain ones. Base spans always stay.
 2. Boosted trees score every proposal by its format, with the signs that the base patterns ask for
-   written alike, and by its context. They are trained on proposals of a bounded sample of rows: one
-   that lies on a base span of its kind is positive, any other negative, with less weight where no
-   base pattern has judged it.
-3. On held-out rows of the sample every kind gets the least score from which on enough proposals
-   are positive. Proposals from there on are added where no base span and no better one lies, but
-   never a match of a base pattern that failed its check.
-
-All work on a text stays in its row: nothing is shuffled but the sample.
+   written alike, and by its context. They learn from all proposals of all rows but held-out ones:
+   one that lies on a base span of its kind is positive, any other negative, with less weight where
+   no base pattern has judged it.
+3. On the held-out rows, three in ten by hash, every kind gets the least score from which on enough
+   proposals are positive. Proposals from there on are added where no base span and no better one
+   lies, but never a match of a base pattern that failed its check.
+
+All work on a text stays in its row: nothing is shuffled but the numbers of proposals, equal ones as
+one row.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -25,6 +27,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldloom.functions.text import let
 from fieldloom.llm.stage import whole_text, written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -73,9 +76,7 @@ CUES = {
 }
 ID_CUES = r"(?i)token|key|sha|hash|\bid\b|ref|order|isbn|version"
 
-# Documents that training looks at, about; what it then fits to, at least.
-SAMPLE_DOCUMENTS = 40_000
-SAMPLE_SPANS = 50
+# Examples that training fits to, at least.
 LEAST_POSITIVES = 20
 # Share of held-out proposals from a threshold on that must be positive.
 PRECISION = 0.95
@@ -259,48 +260,59 @@ def _tree(node) -> object:
     return int(split.featureIndex()), float(split.threshold()), _tree(node.leftChild()), _tree(node.rightChild())
 
 
-def labelled_proposals(docs: DataFrame, key: str, text: str, documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
-    """Proposals of about ``documents`` rows, chosen by hash of key and text: their features,
-    ``label``, ``weight`` and whether they are ``held_out``."""
-    total = docs.count()
+def _lies_on(s: Column, spans: Column) -> Column:
+    """Whether a span shares half of what both cover with one of ``spans``, which are in order and
+    do not overlap: such a one holds or touches the middle, so it is found by halving."""
+    middle = s["start"] + s["end"]
+    step = lambda k: F.call_function("shiftleft", F.lit(1), k)
+    powers = F.reverse(F.sequence(F.lit(0), F.floor(F.log2(F.greatest(F.size(spans), F.lit(1)))).cast("int")))
+    last = F.aggregate(powers, F.lit(-1), lambda at, k: F.when(2 * F.get(spans, at + step(k))["start"] <= middle, at + step(k)).otherwise(at))
+    half = lambda b: 2 * (F.least(b["end"], s["end"]) - F.greatest(b["start"], s["start"])) >= F.greatest(b["end"], s["end"]) - F.least(b["start"], s["start"])
+    near = lambda at: F.exists(F.array(F.get(spans, at), F.get(spans, at - 1)), lambda b: b.isNotNull() & half(b))
+    return F.when(F.size(spans) > 0, let(last, near)).otherwise(False)
+
+
+def labelled_proposals(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """All proposals of all rows: their features, ``label`` and whether they are ``held_out``, by a
+    hash of key and text. Equal ones are one row with their number ``n`` and summed ``weight``."""
     some = docs.select(F.xxhash64(key, text).alias("_hash"), F.col(text).alias("_text"))
-    if total > documents:
-        some = some.where(F.pmod("_hash", F.lit(1 << 20)) < int(documents / total * (1 << 20)) + 1)
     rows = proposals(some, "_text").where(F.size("_spans") > 0)
-    # Each proposal is put forward as every kind: as a foreign one it is an example of what is not
-    # that kind. The first spans of a text are enough here; the sample alone is cut, no result.
-    near = F.slice(F.array_sort("_spans"), 1, SAMPLE_SPANS)
+    of_kind = lambda k: F.filter("_spans", lambda s: s["base"] & (s["kind"] == k))
+    rows = rows.select("_hash", "_spans", *(of_kind(k).alias(f"_base_{k}") for k in range(len(KINDS))))
 
-    def as_kind(s: Column, k: Column) -> Column:
-        same = lambda b: b["base"] & (b["kind"] == k) & (2 * (F.least(b["end"], s["end"]) - F.greatest(b["start"], s["start"])) >= F.greatest(b["end"], s["end"]) - F.least(b["start"], s["start"]))
-        return F.struct(s.withField("kind", k).alias("s"), F.exists("_near", same).alias("label"), (s["judged"] | (s["kind"] != k)).alias("judged"))
+    # Each proposal is put forward as every kind: as a foreign one it is an example of what is not
+    # that kind.
+    def as_kind(s: Column, k: int) -> Column:
+        judged = s["judged"] | (s["kind"] != k)
+        return F.struct(s.withField("kind", F.lit(k)).alias("s"), _lies_on(s, F.col(f"_base_{k}")).alias("label"), judged.alias("judged"))
 
-    every = F.sequence(F.lit(0), F.lit(len(KINDS) - 1))
-    put = F.flatten(F.transform("_near", lambda s: F.transform(every, lambda k: as_kind(s, k))))
-    flat = rows.select("_hash", near.alias("_near")).select("_hash", F.explode(put).alias("x"))
+    put = F.flatten(F.transform("_spans", lambda s: F.array(*(as_kind(s, k) for k in range(len(KINDS))))))
+    flat = rows.select("_hash", F.explode(put).alias("x"))
     flat = flat.select("_hash", "x", F.get(features(F.array("x.s")), F.lit(0)).alias("numbers"))
-    return flat.select(
+    each = flat.select(
         *(F.get("numbers", F.lit(i)).alias(name) for i, name in enumerate(FEATURES)),
         F.col("x.label").cast("double").alias("label"),
         F.when(F.col("x.label") | F.col("x.judged"), 1.0).otherwise(UNJUDGED_WEIGHT).alias("weight"),
         (F.pmod(F.shiftright("_hash", 24), F.lit(10)) < 3).alias("held_out"),
     )
+    return each.groupBy(*FEATURES, "label", "held_out").agg(F.sum("weight").alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
-def fit_selector(sample: DataFrame, precision: float = PRECISION, trees: int = 12, depth: int = 4) -> Selector:
+def fit_selector(examples: DataFrame, precision: float = PRECISION, trees: int = 12, depth: int = 4) -> Selector:
     """Trees and thresholds from labelled proposals; without enough of both labels, none."""
-    counts = {(r["held_out"], r["label"]): r["n"] for r in sample.groupBy("held_out", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if counts.get((False, 1.0), 0) < LEAST_POSITIVES or counts.get((False, 0.0), 0) < LEAST_POSITIVES:
+    counts = {(r["held_out"], r["label"]): r for r in examples.groupBy("held_out", "label").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}
+    learned = [counts.get((False, label)) for label in (0.0, 1.0)]
+    if any(r is None or r["n"] < LEAST_POSITIVES for r in learned):
         return Selector()
-    # Equal proposals are one row with their weights added up, which keeps the table small.
-    alike = sample.where(~F.col("held_out")).groupBy(*FEATURES, "label").agg(F.sum("weight").alias("weight"))
-    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(written(alike).coalesce(4))
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.3, seed=7, weightCol="weight", minInstancesPerNode=1).fit(table.select("features", "label", "weight"))
+    # As many bins as make Spark look for splits in all rows: it takes their square, else a sample.
+    bins = max(32, math.isqrt(sum(r["rows"] for r in learned)) + 1)
+    table = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(examples.where(~F.col("held_out")))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=bins, stepSize=0.3, seed=7, weightCol="weight", minInstancesPerNode=1).fit(table.select("features", "label", "weight"))
     selector = Selector([(w, _tree(t._call_java("rootNode"))) for w, t in zip(model.treeWeights, model.trees, strict=True)])
 
     score = selector.score([F.col(name) for name in FEATURES])
-    held = sample.where("held_out").select(F.col("kind").cast("int").alias("kind"), F.floor(score * 100).cast("int").alias("step"), "label", "weight")
-    steps = held.groupBy("kind", "step").agg(F.sum("label").alias("pos"), F.sum(F.col("weight") * (1 - F.col("label"))).alias("neg")).collect()  # 101 per kind at most
+    held = examples.where("held_out").select(F.col("kind").cast("int").alias("kind"), F.floor(score * 100).cast("int").alias("step"), "label", "weight")
+    steps = held.groupBy("kind", "step").agg(F.sum(F.col("weight") * F.col("label")).alias("pos"), F.sum(F.col("weight") * (1 - F.col("label"))).alias("neg")).collect()  # 101 per kind at most
     for kind in range(len(KINDS)):
         pos = neg = 0.0
         for row in sorted((r for r in steps if r["kind"] == kind), key=lambda r: -r["step"]):

@@ -115,6 +115,28 @@ def test_without_examples_nothing_is_added(spark):
     assert private.find_private(df.limit(0)).count() == 0
 
 
+def test_all_rows_and_spans_are_learned_from(spark):
+    many = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit("to me@b.co now").alias("text"))
+    got = private.labelled_proposals(many, "doc_id", "text").groupBy("label").agg(F.sum("n").alias("n")).collect()
+    assert {r["label"]: r["n"] for r in got} == {1.0: 50_000, 0.0: 150_000}
+    long = spark.createDataFrame([(1, "a@b.co " * 300 + "1.2.3.4 " * 200)], "doc_id long, text string")
+    rows = private.labelled_proposals(long, "doc_id", "text").where("label = 1").groupBy("kind").agg(F.sum("n").alias("n")).collect()
+    assert {r["kind"]: r["n"] for r in rows} == {0.0: 300, 1.0: 200}
+
+
+def test_labels_equal_a_plain_loop(spark):
+    texts = [t or "" for t in ODD if len(t or "") < 1000] + random_texts(200, seed=4)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {kind: 0 for kind in range(4)}
+    for row in private.proposals(df, "text").collect():
+        for s in row["_spans"]:
+            for b in row["_spans"]:
+                shared = min(b["end"], s["end"]) - max(b["start"], s["start"])
+                want[b["kind"]] += b["base"] and 2 * shared >= max(b["end"], s["end"]) - min(b["start"], s["start"])
+    got = private.labelled_proposals(df, "doc_id", "text").where("label = 1").groupBy("kind").agg(F.sum("n").alias("n")).collect()
+    assert {int(r["kind"]): r["n"] for r in got} == {k: n for k, n in want.items() if n}
+
+
 def test_texts(spark):
     df = spark.createDataFrame([("a@b.co x 1.2.3.4",), ("+1 4111 1111 1111 11 a@b.c",), ("none",)], "text string")
     rows = private.find_private(df, private.Selector(), key="text")
