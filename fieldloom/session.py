@@ -44,6 +44,16 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def deal(df: DataFrame) -> DataFrame:
+    """Rows in even shares over as many tasks as a shuffle of the session has.
+
+    Files are cut into tasks by bytes, so narrow rows that each take long would be one task.
+    """
+    spark = df.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(tasks, spark.sparkContext.defaultParallelism))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder the cluster names and continue from there.
 
