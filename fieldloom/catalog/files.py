@@ -11,6 +11,7 @@ from fieldloom.catalog.texts import SPACES_SQL
 from fieldloom.functions import json as J
 from fieldloom.functions import text as X
 from fieldloom.operators import content as content_ops
+from fieldloom.session import deal
 from fieldloom.sources import readers as R
 
 
@@ -163,7 +164,8 @@ def deep_cleaning(spark: SparkSession, folder: str) -> DataFrame:
         '"The-Flag":"', if(o_custkey % 2 = 0, 'YES', 'false'), '","A B":[{"X-Y":"N/A"}]}', repeat('}', 20))"""
     )
     inner = "$" + ".in_ner" * 20
-    cleaned = I.table(spark, folder, "orders").select("o_orderkey", J.clean_json(text).alias("v"))
+    orders = deal(I.table(spark, folder, "orders"))
+    cleaned = orders.select("o_orderkey", J.clean_json(text).alias("v"))
     inmost = F.try_variant_get("v", inner, "variant")
     return cleaned.select(
         "o_orderkey",

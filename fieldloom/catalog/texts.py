@@ -16,6 +16,7 @@ from fieldloom.operators import content as content_ops
 from fieldloom.operators import replies as reply_ops
 from fieldloom.operators.incremental import latest, remaining, reuse_or_compute
 from fieldloom.operators.scoring import assemble_prompts, score
+from fieldloom.session import deal
 
 SPACES_SQL = (
     r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}"
@@ -214,9 +215,8 @@ def value_cleaning(spark: SparkSession, folder: str) -> DataFrame:
         '"Nested Block":{"X Y":"', if(c_custkey % 3 = 0, 'TRUE', 'False'), '"},',
         '"Twice":"first","twice":" later "}')"""
     )
-    cleaned = I.table(spark, folder, "customer").select(
-        "c_custkey", J.clean_json(text).alias("v")
-    )
+    customers = deal(I.table(spark, folder, "customer"))
+    cleaned = customers.select("c_custkey", J.clean_json(text).alias("v"))
 
     def read(path: str, kind: str):
         return F.try_variant_get("v", f"$.{path}", kind).alias(path.split(".")[-1])

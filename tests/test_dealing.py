@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.catalog import inputs as I
-from fieldloom.catalog import tables
+from fieldloom.catalog import tables, texts
 from fieldloom.operators.flatten import flatten_results
 
 
@@ -32,3 +32,8 @@ def test_results_are_flattened_in_many_tasks(spark, folder):
 def test_wide_table_is_made_in_many_tasks(spark, folder):
     found = shares(tables.unified_table(spark, folder))
     assert len(found) >= 4 and sum(found) == 900 and max(found) < 400
+
+
+def test_values_are_cleaned_in_many_tasks(spark, folder):
+    found = shares(texts.value_cleaning(spark, folder))
+    assert len(found) >= 4 and sum(found) == 1000 and max(found) < 400
