@@ -276,7 +276,8 @@ def labelled_proposals(docs: DataFrame, key: str, text: str) -> DataFrame:
     """All proposals of all rows: their features, ``label`` and whether they are ``held_out``, by a
     hash of key and text. Equal ones are one row with their number ``n`` and summed ``weight``."""
     some = docs.select(F.xxhash64(key, text).alias("_hash"), F.col(text).alias("_text"))
-    rows = proposals(some, "_text").where(F.size("_spans") > 0)
+    # Without a filter on the spans: it would move below the patterns and match them for every span.
+    rows = proposals(some, "_text")
     of_kind = lambda k: F.filter("_spans", lambda s: s["base"] & (s["kind"] == k))
     rows = rows.select("_hash", "_spans", *(of_kind(k).alias(f"_base_{k}") for k in range(len(KINDS))))
 
