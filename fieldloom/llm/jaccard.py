@@ -1,8 +1,8 @@
 """Exact Jaccard links between documents' shingle sets, as connected components.
 
-Size-aware heavy-light join. A set can only be linked if three quarters of its shingles are in
-other sets, so a count-min sketch first puts aside the sets that cannot (its errors only let more
-sets pass). Equal sets become one. What is left is joined exactly: shingles are ordered from rare
+Size-aware heavy-light join. Equal sets become one. A set can only be linked if three quarters of
+its shingles are in other sets, so those that cannot are put aside first, by counting which of half
+the shingles are. What is left is joined exactly: shingles are ordered from rare
 to frequent, and linked sets share one shingle among the first quarter of each, two with one place
 more. Small sets are joined by their pairs of such shingles (subsets of fixed size two), large ones
 and those that reach up to them by scanning the inverted list of each such shingle; the boundary is
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm.batches import column, forget_tables, steps
 from fieldloom.llm.components import components
-from fieldloom.llm.sketch import may_repeat, merged_sketch, sketch_bits
-from fieldloom.llm.stage import whole_text, written
+from fieldloom.llm.repeats import KeySketch, repeating_keys
+from fieldloom.llm.stage import discard, whole_text, written
 from fieldloom.llm.words import scan, shingle_sets
 
 SHINGLE = 5
@@ -38,6 +38,8 @@ MAX_SMALL = 256
 # Text bytes whose words a task holds as arrays at a time.
 STEP_BYTES = (1 << 20) - 1
 NULL_KEY = (1 << 63) - 1
+# Shingles with hashes below are counted before the join.
+HALF = np.uint64(1 << 63)
 
 
 def _least_shared(size):
@@ -45,96 +47,79 @@ def _least_shared(size):
     return -(-NUM * size // DEN)
 
 
-def _possible(tokens: np.ndarray, sketch: bytes, bits: int, size: int) -> np.ndarray | None:
-    """The tokens that may repeat, or None if they are too few for a link."""
-    found = tokens[may_repeat(tokens, sketch, bits, 1)]
-    return found if len(found) and len(found) >= _least_shared(size) else None
+def set_table(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """``key, size, h1, h2`` of every row of ``docs(_key, _text)``, written; h1 and h2 identify the set."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
+        for part in steps(batches, "_text", STEP_BYTES):
+            sets = shingle_sets(scan(column(part, "_text"), True), n)
+            yield pa.RecordBatch.from_arrays([column(part, "_key"), *_identity(sets)], names=["key", "size", "h1", "h2"])
 
-def shingle_table(docs: DataFrame, n: int = SHINGLE) -> DataFrame:
-    """``row, key, size, h1, h2, tokens`` of every row of ``docs(_key, _text)``, written.
+    return written(docs.mapInArrow(run, "key long, size int, h1 long, h2 long"))
 
-    h1 and h2 identify the set; ``tokens`` holds the shingles that may be in other sets too,
-    where they are enough for a link (in a run of rows only the first of equal sets has them).
-    """
-    volume = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    bits = sketch_bits(volume // 6)
 
-    def values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for part in steps([batch], "_text", STEP_BYTES):
-            yield from shingle_sets(scan(column(part, "_text"), True), n)
+def _identity(sets: list[np.ndarray]) -> list[pa.Array]:
+    """Sizes of sets and two sums of hashes that tell them apart."""
+    h1, h2 = [], []
+    with np.errstate(over="ignore"):
+        for own in sets:
+            h1.append(int(own.sum(dtype=np.uint64).view(np.int64)) if len(own) else 0)
+            odd = (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            h2.append(int(odd.sum(dtype=np.uint64).view(np.int64)) if len(own) else 0)
+    return [pa.array([len(own) for own in sets], pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())]
 
-    sketch = merged_sketch(docs.select("_text"), values, bits, 1)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_tables()
-        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
-        for part in steps(batches, "_text", STEP_BYTES):
-            size, h1, h2, tokens, seen = [], [], [], [], set()
-            with np.errstate(over="ignore"):
-                for own in shingle_sets(scan(column(part, "_text"), True), n):
-                    size.append(len(own))
-                    h1.append(int(own.sum(dtype=np.uint64).view(np.int64)) if len(own) else 0)
-                    odd = (own ^ (own >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                    h2.append(int(odd.sum(dtype=np.uint64).view(np.int64)) if len(own) else 0)
-                    known = (h1[-1], h2[-1]) in seen
-                    seen.add((h1[-1], h2[-1]))
-                    found = None if known else _possible(own, sketch.value, bits, len(own))
-                    tokens.append(None if found is None else found.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.arange(row, row + len(size))),
-                    column(part, "_key"),
-                    pa.array(size, pa.int32()),
-                    pa.array(h1, pa.int64()),
-                    pa.array(h2, pa.int64()),
-                    pa.array(tokens, pa.binary()),
-                ],
-                names=["row", "key", "size", "h1", "h2", "tokens"],
-            )
-            row += len(size)
-
-    return written(docs.mapInArrow(run, "row long, key long, size int, h1 long, h2 long, tokens binary"))
-
-
-def distinct_sets(table: DataFrame) -> DataFrame:
-    """``set, size, tokens`` of the distinct sets that may still be linked, written.
-
-    ``set`` is the least key with that set. Equal sets counted for each other before; now that
-    each is there once, the sketch is made and asked again.
+def linkable(docs: DataFrame, least: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """``key`` of the rows whose sets may be linked with another set, written.
+
+    ``least(set, size)`` has one key for each set, so equal sets do not count for each other. Only
+    the shingles in the lower half of all hashes are counted: of those a set has, all but the
+    quarter of its size that a link may miss are in the other set.
     """
-    chosen = (
-        table.where("size > 0")
-        .groupBy("h1", "h2")
-        .agg(F.min("key").alias("set"), F.min(F.when(F.col("tokens").isNotNull(), F.col("row"))).alias("row"))
-        .where("row IS NOT NULL")
-        .select("set", "row")
-    )
-    sets = written(table.select("row", "size", "tokens").join(chosen, "row").select("set", "size", "tokens"))
-    volume = sets.agg(F.sum(F.octet_length("tokens"))).first()[0] or 0
-    bits = sketch_bits(volume // 8)
+    given = KeySketch(least.select("set"))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray]]:
+        for batch in batches:
+            for part in steps([given.among(batch, "_key")], "_text", STEP_BYTES):
+                sets = shingle_sets(scan(column(part, "_text"), True), n)
+                for key, own in zip(column(part, "_key").to_pylist(), sets, strict=True):
+                    if len(own):
+                        low = own[: np.searchsorted(own, HALF)]
+                        yield key, len(low) - len(own) + _least_shared(len(own)), low << np.uint64(1)
 
-    def values(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for own in column(batch, "tokens").to_pylist():
-            yield np.frombuffer(own, "<u8")
+    return repeating_keys(docs, rows, (least.agg(F.sum("size")).first()[0] or 0) // 2)
 
-    sketch = merged_sketch(sets.select("tokens"), values, bits, 1)
+
+def found_sets(docs: DataFrame, keys: DataFrame, n: int = SHINGLE) -> DataFrame:
+    """``set, size, tokens`` of the distinct sets that may be linked, written; ``keys`` are those of their rows.
+
+    ``set`` is the least key with that set. Of rows that the sketch of keys lets pass, too, and of
+    those with the same key, one with each set stays.
+    """
+    asked = KeySketch(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_tables()
+        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 33
         for batch in batches:
-            rows, tokens = [], []
-            for at, (own, size) in enumerate(zip(column(batch, "tokens").to_pylist(), column(batch, "size").to_pylist(), strict=True)):
-                found = _possible(np.frombuffer(own, "<u8"), sketch.value, bits, size)
-                if found is not None:
-                    rows.append(at)
-                    tokens.append(found.view(np.int64))
-            take = pa.array(rows, pa.int64())
-            ends = np.cumsum([0, *map(len, tokens)]).astype(np.int32)
-            flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([column(batch, "set").take(take), column(batch, "size").take(take), lists], names=["set", "size", "tokens"])
-
-    return written(sets.mapInArrow(run, "set long, size int, tokens array<long>"))
+            for part in steps([asked.among(batch, "_key")], "_text", STEP_BYTES):
+                sets = shingle_sets(scan(column(part, "_text"), True), n)
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                tokens = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                rows = pa.array(np.arange(row, row + len(sets)))
+                yield pa.RecordBatch.from_arrays(
+                    [rows, column(part, "_key"), *_identity(sets), tokens], names=["row", "set", "size", "h1", "h2", "tokens"]
+                )
+                row += len(sets)
+
+    table = written(docs.mapInArrow(run, "row long, set long, size int, h1 long, h2 long, tokens array<long>"))
+    rows = table.where("size > 0")
+    chosen = rows.groupBy("h1", "h2").agg(F.min(F.struct("set", "row"))["row"].alias("row"))
+    surplus = written(table.select("row").join(chosen.select("row"), "row", "left_anti"))
+    sets = written(table.join(surplus, "row", "left_anti").select("set", "size", "tokens"), release=True)
+    discard(table, surplus)
+    return sets
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
@@ -156,7 +141,8 @@ def prefixes(sets: DataFrame) -> DataFrame:
     return written(
         shared.where(F.size("shared") >= least)
         .select("set", "size", alone.alias("alone"), places.alias("places"), F.slice("shared", 1, places + 1).alias("first"))
-        .where("places > 0")
+        .where("places > 0"),
+        release=True,
     )
 
 
@@ -217,10 +203,11 @@ def set_links(sets: DataFrame) -> DataFrame:
     rows = postings(firsts, small_boundary(firsts))
     heads = rows.groupBy("key").agg(F.min(F.struct("alone", "set")).alias("head"), F.min("set").alias("_a"), F.max("set").alias("_b")).where("_a < _b")
     tried = rows.join(heads.select("key", F.col("head.set").alias("b")), "key").where("set <> b").select(F.col("set").alias("a"), "b").distinct()
-    tried = written(measured(tried, sets))
+    tried = written(measured(tried, sets), release=True)
+    discard(firsts, rows)
     links = tried.where("linked").select("a", "b")
     across = candidates_across(tried, components(links), sets)
-    return links.union(written(measured(across, sets)).where("linked").select("a", "b"))
+    return links.union(written(measured(across, sets), release=True).where("linked").select("a", "b"))
 
 
 def candidates_across(tried: DataFrame, label: DataFrame, sets: DataFrame) -> DataFrame:
@@ -240,7 +227,8 @@ def candidates_across(tried: DataFrame, label: DataFrame, sets: DataFrame) -> Da
         points.join(mixed, "star", "left_semi")
         .join(own, "set")
         .join(centre, "star")
-        .select("star", "set", "part", "size", "both", F.array_except("tokens", "_tokens").alias("rest"))
+        .select("star", "set", "part", "size", "both", F.array_except("tokens", "_tokens").alias("rest")),
+        release=True,
     )
     spread = rests.select("star", "set", F.explode("rest").alias("token"))
     counts = spread.groupBy("star", "token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -255,7 +243,8 @@ def candidates_across(tried: DataFrame, label: DataFrame, sets: DataFrame) -> Da
     )
     parts = points.groupBy("star", "part").agg(F.count(F.lit(1)).alias("n"))
     main = parts.groupBy("star").agg(F.max(F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    points = written(points.join(main.select("star", F.col("most.part").alias("main")), "star"))
+    points = written(points.join(main.select("star", F.col("most.part").alias("main")), "star"), release=True)
+    discard(rests)
     # Every set outside a star's main component against every set of another component.
     outside = points.where("part <> main").select("star", *[F.col(c).alias("_" + c) for c in ("set", "size", "both", "beside", "part")])
     at_most = F.least("both", "_both") + F.least("beside", "_beside")
@@ -278,11 +267,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", n:
     Repeated rows have equal sets and so one component. Other columns are left out.
     """
     narrow = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_KEY)).alias("_key"), whole_text(text).alias("_text"))
-    table = shingle_table(narrow, n)
-    label = components(set_links(distinct_sets(table)))
-    least = table.where("size > 0").groupBy("h1", "h2").agg(F.min("key").alias("set"))
+    rows = set_table(narrow, n)
+    least = written(rows.where("size > 0").groupBy("h1", "h2").agg(F.min("key").alias("set"), F.max("size").alias("size")), release=True)
+    sets = found_sets(narrow, linkable(narrow, least, n), n)
+    label = components(set_links(sets))
+    discard(sets)
     named = least.join(label, least.set == label.node, "left").select("h1", "h2", F.coalesce("component", "set").alias("component"))
-    rows = table.select("key", "size", "h1", "h2")
     out = rows.join(named, ["h1", "h2"], "left")
     component = F.when(F.col("size") == 0, F.col("key")).otherwise(F.col("component"))
     return out.select(

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # The white space between words: space, and tab to carriage return.
 SPACES = "[\\x20\\x09-\\x0D]+"
+# Spark's setting that deletes the shuffle files of a query as it ends.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,16 +19,33 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or f"{spark.conf.get('spark.sql.warehouse.dir')}/_stages"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, release: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: what follows survives lost
-    executors without repeating it. The files go when the application ends."""
+    executors without repeating it. The files go when the application ends. With ``release`` the
+    shuffle files of its making go at once, not when the driver happens to collect its garbage."""
     spark = df.sparkSession
     target = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(target)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    df.write.option("compression", "zstd").parquet(target)
+    before = spark.conf.get(CLEAN_SHUFFLES)
+    if release:
+        spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(target)
+    finally:
+        if release:
+            spark.conf.set(CLEAN_SHUFFLES, before)
     files.deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(target)
+    back = spark.read.schema(df.schema).parquet(target)
+    back.stage_folder = target
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stage_folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def whole_text(name: str = "text") -> Column:

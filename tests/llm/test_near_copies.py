@@ -41,6 +41,71 @@ def test_any_boundary_finds_the_same_candidates(make_docs, family, boundary, mon
     assert got == components(family)
 
 
+def test_jaccard_joins_linkable_sets_of_any_input_only(make_docs, monkeypatch):
+    """More shingles than a sketch has cells, and exact copies, bring no other sets to the join."""
+    from fieldloom.llm import sketch
+
+    monkeypatch.setattr(sketch.sketch_bits, "__defaults__", (16,))
+    joined = []
+    monkeypatch.setattr(jaccard, "set_links", lambda sets, f=jaccard.set_links: (joined.append(sets.count()), f(sets))[1])
+    rng = random.Random(5)
+    texts = [[f"w{rng.randrange(10**6)}" for _ in range(1000)] for _ in range(250)]
+    rows = [(i, " ".join(words)) for i, words in enumerate([*texts, *texts[:40], [*texts[7][:950], "an", "edit"]])]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.near_duplicates(make_docs(rows)).collect()}
+    assert got == {i: (948 if i == 290 else 996, 7 if i == 290 else i % 250) for i in range(291)}
+    assert joined == [2]
+
+
+def test_repeating_keys_equal_a_count(spark, monkeypatch):
+    """Values that repeat within a part, across parts and in most rows are all counted, once a row."""
+    import numpy as np
+
+    from fieldloom.llm import repeats
+    from fieldloom.llm.words import mix
+
+    monkeypatch.setattr(repeats, "PART_VALUES", 60)
+    monkeypatch.setattr(repeats, "ANSWER_BYTES", 20)
+    rng = random.Random(6)
+    sets = [(i, rng.randint(0, 12), sorted({0, *rng.choices(range(1, 900), k=rng.randint(0, 25))})) for i in range(300)] + [(300, 0, []), (301, 1, [])]
+    df = spark.createDataFrame(sets, "key long, need int, own array<long>").repartition(7)
+
+    def rows(batches):
+        for batch in batches:
+            for key, need, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                yield key, need, mix(np.array(own, np.uint64))
+
+    counts = {}
+    for _, _, own in sets:
+        for value in own:
+            counts[value] = counts.get(value, 0) + 1
+    got = sorted(r.key for r in repeats.repeating_keys(df, rows, 4000).collect())
+    assert got == [key for key, need, own in sets if sum(counts[value] > 1 for value in own) >= need]
+    assert 0 < len(got) < 290
+
+
+def test_released_shuffles_and_discarded_stages(spark):
+    """A released table leaves no shuffle files behind, a discarded one no folder."""
+    import time
+    from pathlib import Path
+
+    from fieldloom.llm import stage
+
+    def files():
+        folders = [Path(str(p)) for p in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+        return {p for folder in folders for p in folder.rglob("shuffle_*")}
+
+    before, setting = files(), spark.conf.get(stage.CLEAN_SHUFFLES)
+    table = stage.written(spark.range(1000).repartition(5, "id"), release=True)
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(stage.CLEAN_SHUFFLES) == setting
+    assert table.count() == 1000 and Path(table.stage_folder.removeprefix("file:")).exists()
+    stage.discard(table)
+    assert not Path(table.stage_folder.removeprefix("file:")).exists()
+
+
 def test_components_of_a_chain(spark):
     rows = [(i, i + 1) for i in range(40)] + [(100, 101), (103, 101), (7, 7)]
     got = dict(links.components(spark.createDataFrame(rows, "a long, b long")).collect())
